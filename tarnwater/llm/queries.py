@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, chat_format, embedding_dedup, mixing, simhash, token_counts
+from . import bpe_codec, chat_format, embedding_dedup, language_id, mixing, quality, simhash, token_counts
 from .common import table
 
 #: Name of the vocabulary file; where the files lie is asked of the installed package.
@@ -34,6 +34,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(turns.unionByName(more), vocabulary_path())
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -46,8 +50,12 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_chat_format, op5_bpe_codec, op6_simhash, op9_embedding_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_chat_format, op4_language_id, op5_bpe_codec, op6_simhash, op9_embedding_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
