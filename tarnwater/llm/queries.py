@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, chat_format, embedding_dedup, language_id, lm_scoring, mixing, quality, simhash, token_counts
+from . import bpe_codec, chat_format, embedding_dedup, language_id, lm_scoring, mixing, quality, simhash, token_counts, weighted_fingerprints
 from .common import table
 
 #: Name of the vocabulary file; where the files lie is asked of the installed package.
@@ -46,6 +46,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_chat_format, op4_language_id, op5_bpe_codec, op6_simhash, op8_lm_scoring, op9_embedding_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_chat_format, op4_language_id, op5_bpe_codec, op6_simhash, op7_weighted_fingerprints, op8_lm_scoring, op9_embedding_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
