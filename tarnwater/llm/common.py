@@ -70,3 +70,13 @@ def read_local(path: str) -> str:
     """A tokenizer file as text; the path is the caller's parameter and the driver reads it once."""
     with open(os.path.expanduser(path), encoding="utf-8") as f:
         return f.read()
+
+
+def kept(docs: DataFrame, decide, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, for which decide() says so: it takes a list of texts and returns a list of booleans. No shuffle."""
+
+    def run(batches):
+        for batch in blocks(batches, text_col):
+            yield batch.filter(pa.array(decide(batch.column(text_col).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

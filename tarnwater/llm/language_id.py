@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, kept
 
 DIMENSIONS, LETTERS, SEED, UNKNOWN = 512, 40, 11, "und"
 #: Bound vectors that a Python worker keeps ready, 2 KB each.
@@ -120,36 +120,60 @@ def training_row(id_col: Column, fold: int = 1, folds: int = 3) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % folds != fold, F.lit(False))
 
 
+def nearest(text: str | None, names: list[str], unit: np.ndarray) -> tuple[str, float]:
+    """A text's language and cosine."""
+    codes, counts = trigrams(text or "")
+    if not len(codes) or not names:
+        return UNKNOWN, 0.0
+    profile = bundle(codes, counts)
+    cosines = unit @ profile / (np.linalg.norm(profile) or 1)
+    best = int(np.argmax(cosines))
+    return names[best], float(min(1.0, max(0.0, cosines[best])))
+
+
+def scaled(prototypes: dict[str, np.ndarray]) -> np.ndarray:
+    return np.array([v / (np.linalg.norm(v) or 1) for v in prototypes.values()])
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score): the nearest prototype and the cosine, at least 0. Null texts, texts without a letter, and all texts without a prototype, are `und` with score 0. Ties go to the first language by name."""
-    kind, names = docs.schema[id_col].dataType.simpleString(), list(prototypes)
-    unit = np.array([v / (np.linalg.norm(v) or 1) for v in prototypes.values()])
+    kind, names, unit = docs.schema[id_col].dataType.simpleString(), list(prototypes), scaled(prototypes)
 
     def run(batches):
         for batch in blocks(batches, "text"):
-            langs, scores = [], []
-            for text in batch.column("text").to_pylist():
-                codes, counts = trigrams(text or "")
-                if not len(codes) or not names:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                profile = bundle(codes, counts)
-                cosines = unit @ profile / (np.linalg.norm(profile) or 1)
-                best = int(np.argmax(cosines))
-                langs.append(names[best])
-                scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+            found = [nearest(t, names, unit) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["id", "lang_pred", "score"])
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def _training(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return docs.where(training_row(docs[id_col])).select(docs[text_col].alias("text"), docs[lang_col].alias("lang"))
+
+
+def accept(docs: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs` whose text is in a known language, all columns.
+
+    Rejected are `und` texts and those whose cosine is below least * n / (n + 400) for n characters: short texts can't come near
+    a prototype, long ones in a language do. An input that teaches no language is passed whole but for `und` by letters alone.
+    """
+    prototypes = learn(_training(docs, id_col, text_col, lang_col))
+    names, unit = list(prototypes), scaled(prototypes)
+
+    def decide(texts):
+        if not names:
+            return [len(trigrams(t or "")[0]) > 0 for t in texts]
+        found = [nearest(t, names, unit) for t in texts]
+        return [lang != UNKNOWN and score >= least * len(t) / (len(t) + 400) for t, (lang, score) in zip(texts, found)]
+
+    return kept(docs, decide, text_col)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score) for each row of `docs`.
 
     Learns from rows whose crc32(id as text) mod 3 is not 1 and whose language is known; a null id is neither held out nor
     learned from. Predictions see the text alone. Repeated rows give repeated rows; other columns are not read.
     """
-    train = docs.where(training_row(docs[id_col])).select(docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    scored = predict(docs, learn(train), id_col, text_col)
+    scored = predict(docs, learn(_training(docs, id_col, text_col, lang_col)), id_col, text_col)
     return scored.select(id_col, F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

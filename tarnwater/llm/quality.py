@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, stored
+from .common import blocks, kept, stored
 
 FEATURES = ["chars", "words", "word_length", "upper", "digits", "symbols", "stops", "exclamations", "bars", "distinct_words", "top_word", "repeated_word", "repeated_lines", "line_length", "beyond_ascii", "entropy", "longest_word", "wordless", "open_lines", "distinct_pairs"]
 
@@ -191,3 +191,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
 
     scored = known.mapInArrow(run, f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with score >= threshold, all columns. Features of labelled rows alone are gathered for the fit."""
+    marked = docs.join(labels.where("quality is not null").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
+    known = features(marked, id_col, text_col)
+    model = learn(stored(known.where(F.crc32(F.col("id").cast("string")) % 5 != 0), "features"), labels, sample)
+
+    def decide(texts):
+        classes = _classes()
+        return (model.score(np.array([text_features(t or "", classes) for t in texts], np.float32).astype(np.float64).reshape(len(texts), -1)) >= threshold).tolist()
+
+    return kept(docs, decide, text_col)

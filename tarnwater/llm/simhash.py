@@ -129,3 +129,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = groups.groupBy("root").agg(F.min("first").alias("component_id"))
     named = groups.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4) -> DataFrame:
+    """One row of each near-duplicate group, all columns: that of the smallest id (null last). Works on null and repeated ids too."""
+    keyed = docs.withColumn("_key", F.xxhash64(id_col, text_col))
+    groups = near_duplicates(keyed, "_key", text_col, size, distance).select(F.col("_key").alias("k"), "component_id").distinct()
+    ids = keyed.select("_key", id_col).distinct()
+    first = groups.join(ids, F.col("k") == F.col("_key")).groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_key")).alias("s"))
+    chosen = first.select(F.col("s._key").alias("_key"))
+    return keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
