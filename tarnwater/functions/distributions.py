@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_tail(a: float, b: float, x: float) -> float:
@@ -46,19 +47,19 @@ def _mapped(function, *columns: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p of a standard normal."""
     return _mapped(normal_tails, z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t."""
     return _mapped(t_tails, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Upper tail of F."""
     return _mapped(f_tail, f, d1, d2)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import CELL, CLOUD, CONFIDENCE, HIGH_WATER, LAND, NODATA, WATER, CleanParams
+from ..storage import stored
 from .spatial import label_components
 
 
@@ -62,6 +63,7 @@ def temporal_fill(masked: DataFrame, params: CleanParams = CleanParams(), with_i
 
 def remove_small_water(cleaned: DataFrame, params: CleanParams = CleanParams(), keys: Sequence[str] = CELL, month: str = "month_key", value: str = "cleaned") -> DataFrame:
     """Water bodies (8-connected) below the minimum become land; confidence stays."""
+    cleaned = stored(cleaned, "filled")
     bodies = label_components(cleaned.where(F.col(value).isin(*WATER)).select(month, *keys), [month], keys, diagonal=True)
     small = bodies.join(bodies.groupBy(month, "component").agg(F.count("*").alias("_size")).where(F.col("_size") < params.min_water_pixels), [month, "component"]).select(month, *keys, F.lit(True).alias("_small"))
     return cleaned.join(small, [month, *keys], "left").withColumn(value, F.when(F.col("_small"), LAND).otherwise(F.col(value))).drop("_small")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import CELL
-from .spatial import land_beside_water, remove_small
+from ..storage import stored
+from .spatial import label_components, land_beside_water, remove_small
 
 
 def dem_mode(dem: DataFrame) -> DataFrame:
@@ -22,14 +23,14 @@ def water_edges(grid: DataFrame, raster: Sequence[str], cells: int, keys: Sequen
 
     `cells` is the grid's size: bodies and holes below `share` of it go, and edge pieces below `share` of a raster's edge.
     """
+    grid = stored(grid.select(*raster, *keys, "cls"), "grid")
     wet = remove_small(grid.where(F.col("cls").isin(1, 2)).select(*raster, *keys), raster, keys, share * cells)
     every = grid.select(*raster, *keys)
     dry = remove_small(every.join(wet, [*raster, *keys], "left_anti"), raster, keys, share * cells).withColumn("_dry", F.lit(True))
     state = grid.join(dry, [*raster, *keys], "left").withColumn("state", F.when(~F.col("cls").isin(0, 1, 2, 3), 5).when(F.col("_dry"), 0).otherwise(1))
-    edge = land_beside_water(state.select(*raster, *keys, "state"), raster, keys, cloud_steps=cloud_steps)
+    state = stored(state.select(*raster, *keys, "state"), "state")
+    edge = stored(land_beside_water(state, raster, keys, cloud_steps=cloud_steps), "edge")
     least = edge.groupBy(*raster).agg((F.count("*") * share).alias("_least"))
-    from .spatial import label_components
-
     labelled = label_components(edge, raster, keys)
     sizes = labelled.groupBy(*raster, "component").agg(F.count("*").alias("_n")).join(least, list(raster)).where("_n >= _least")
     return labelled.join(sizes, [*raster, "component"], "left_semi").select(*raster, *keys)

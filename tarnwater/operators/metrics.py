@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import CELL, CLOUD, HIGH_WATER, NODATA, PARTIAL, WATER, SeriesParams, ratio
+from ..storage import stored
 from .spatial import label_components, perimeters
 
 
@@ -33,6 +34,7 @@ def body_metrics(monthly: DataFrame, pixel_km2: float, grid: dict[str, float] |
     """Number, sizes, fragmentation and centroid of each month's water bodies (4-connected, of a minimal size)."""
     r, c = keys
     g = grid or {"a": 1.0, "b": 0.0, "c": 0.0, "d": 0.0, "e": 1.0, "f": 0.0}
+    monthly = stored(monthly.select(month, *keys, "cls"), "monthly")
     wet = monthly.where(F.col("cls").isin(*WATER)).select(month, *keys)
     labelled = label_components(wet, [month], keys)
     sizes = labelled.groupBy(month, "component").agg(F.count("*").alias("n"))
@@ -52,6 +54,7 @@ def body_metrics(monthly: DataFrame, pixel_km2: float, grid: dict[str, float] |
 
 def monthly_metrics(monthly: DataFrame, stats: DataFrame, pixel_km2: float, grid: dict[str, float] | None = None, params: SeriesParams = SeriesParams(), keys: Sequence[str] = CELL, month: str = "month_key") -> DataFrame:
     """All metrics of each month, with its year and month."""
+    monthly = stored(monthly.select(month, *keys, "cls"), "monthly")
     both = month_areas(monthly, stats, pixel_km2, params, keys, month).join(body_metrics(monthly, pixel_km2, grid, params, keys, month), month)
     return both.withColumns({"year_i": F.floor(F.col(month) / 100).cast("int"), "month_i": (F.col(month) % 100).cast("int")})
 

@@ -73,16 +73,16 @@ def monthly_vote(obs: DataFrame, stats: DataFrame, params: MonthlyParams = Month
     high, moderate, lead = ratio(F.col("high"), F.col("valid")), ratio(F.col("moderate"), F.col("valid")), F.col("ww") >= F.col("lw") + 2
     vote = ((F.col("high") >= 2) & (high >= 0.5)) | ((F.col("moderate") >= 3) & (moderate >= 0.6) & lead) | ((F.col("high") >= 1) & lead & (F.col("maxw") >= 3))
     vote = vote & (F.col("valid") >= 3) & (F.col("top") > 0) & (F.col("maxw") >= 2)
-    m = F.col("m")
-    x = x.withColumn("m", F.when(vote, best).when(F.col("missing") == F.col("n"), NODATA).when(F.col("valid") == 0, CLOUD).otherwise(LAND))
-    x = x.withColumn("m", F.when((F.col("valid") < 5) & m.isin(*HIGH_WATER) & (F.col("part") >= 1), PARTIAL).otherwise(m))
-    x = x.withColumn("m", F.when(F.col("persistent"), 1).when(F.col("stable_land"), LAND).otherwise(m))
     free, wet, part = ~(F.col("persistent") | F.col("stable_land")), ratio(F.col("wet"), F.col("valid")), ratio(F.col("part"), F.col("valid"))
     to_water, to_part = wet >= params.water_fraction, part >= params.partial_fraction
-    x = x.withColumn("m", F.when(free & to_water & to_part, F.when(wet >= part, 1).otherwise(PARTIAL)).when(free & to_water, 1).when(free & to_part, PARTIAL).otherwise(m))
-    evidence = free & (m == LAND) & ((F.col("wet") > 0) | (F.col("part") > 0))
-    x = x.withColumn("m", F.when(evidence, PARTIAL).otherwise(m))
-    x = x.withColumn("m", F.when(evidence & (F.col("water_prob") >= params.water_prob), 1).otherwise(m))
+    # Masks come first, then the fractions, then the vote, then missing and cloudy cells. Two further rules can't fire: that few
+    # observations with a partial one make partial water (the vote says so already), and that evidence in probable water makes
+    # water (evidence has made partial water before).
+    first = F.when(F.col("persistent"), 1).when(F.col("stable_land"), LAND)
+    first = first.when(to_water & to_part & (wet < part), PARTIAL).when(to_water, 1).when(to_part, PARTIAL).when(vote, best).when(F.col("missing") == F.col("n"), NODATA).when(F.col("valid") == 0, CLOUD).otherwise(LAND)
+    x = x.withColumn("m", first)
+    m = F.col("m")
+    x = x.withColumn("m", F.when(free & (m == LAND) & ((F.col("wet") > 0) | (F.col("part") > 0)), PARTIAL).otherwise(m))
     wins = (F.col("part") > 0) & (F.col("part") > F.col("wet"))
     last = F.when(m.isin(*HIGH_WATER) & (ratio(F.col("part"), F.col("wet") + F.col("part")) >= 0.5) & (F.col("dry") > 0), PARTIAL)
     last = last.when((m == LAND) & wins, PARTIAL).when((m == LAND) & (F.col("wet") > 1) & ~(F.col("part") > F.col("wet")), 1).otherwise(m)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import CELL
+from ..storage import stored
 from .graph import components
 
 #: Cells per side of the tiles in which components are labelled before tiles are joined.
@@ -46,6 +47,14 @@ def _node(month: Sequence[str], r: Column, c: Column) -> Column:
     return F.shiftleft(raster, 2 * SHIFT).bitwiseOR(F.shiftleft(r.cast("long"), SHIFT)).bitwiseOR(c.cast("long"))
 
 
+def spread(cells: DataFrame, kept: Sequence[str], offsets: Sequence[tuple[int, int, int]], keys: Sequence[str] = CELL) -> DataFrame:
+    """A row for each cell and offset (rows, columns, value): the cell moved, and `v`. The offsets are one constant."""
+    r, c = keys
+    listed = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(v).alias("v")) for i, j, v in offsets))
+    moved = cells.select(*kept, *keys, F.explode(listed).alias("_o"))
+    return moved.select(*kept, (F.col(r) + F.col("_o.i")).cast("int").alias(r), (F.col(c) + F.col("_o.j")).cast("int").alias(c), F.col("_o.v").alias("v"))
+
+
 def label_components(cells: DataFrame, raster: Sequence[str], keys: Sequence[str] = CELL, diagonal: bool = False, tile: int = TILE) -> DataFrame:
     """(raster, cell, component) for the given cells of each raster; 4- or 8-connected, `raster` at most one integer column.
 
@@ -65,13 +74,13 @@ def label_components(cells: DataFrame, raster: Sequence[str], keys: Sequence[str
         return frame
 
     schema = T.StructType([*tiled.schema.fields, T.StructField("_lr", T.LongType()), T.StructField("_lc", T.LongType())])
-    labelled = tiled.groupBy(*group).applyInPandas(label, schema).select(*raster, *keys, _node(raster, F.col("_lr"), F.col("_lc")).alias("_label"))
+    labelled = stored(tiled.groupBy(*group).applyInPandas(label, schema).select(*raster, *keys, _node(raster, F.col("_lr"), F.col("_lc")).alias("_label")), "labels")
     steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if diagonal else [])]
     edge = F.lit(False)
     for column in keys:
         edge = edge | (F.pmod(F.col(column), F.lit(tile)).isin(0, tile - 1))
     border = labelled.where(edge)
-    moved = border.select(*raster, F.explode(F.array(*(F.struct((F.col(r) + i).cast("int").alias(r), (F.col(c) + j).cast("int").alias(c)) for i, j in steps))).alias("s"), F.col("_label").alias("a")).select(*raster, "s.*", "a")
+    moved = spread(border.withColumnRenamed("_label", "a"), [*raster, "a"], [(i, j, 0) for i, j in steps], keys).drop("v")
     links = moved.join(border.withColumnRenamed("_label", "b"), [*raster, *keys]).where("a <> b").select("a", "b").distinct()
     joined = components(links)
     return labelled.join(joined, labelled["_label"] == joined["node"], "left").select(*raster, *keys, F.coalesce("component", "_label").alias("component"))
@@ -82,19 +91,18 @@ def perimeters(labelled: DataFrame, raster: Sequence[str], keys: Sequence[str] =
 
     Each cell tells its four neighbours that it is there, border cells then tell their eight neighbours; both are sums by cell.
     """
-    r, c = keys
     each = [*raster, "component", *keys]
 
     def told(rows: DataFrame, steps: list[tuple[int, int, int]]) -> DataFrame:
-        spread = rows.select(*raster, "component", F.explode(F.array(*(F.struct((F.col(r) + i).cast("int").alias(r), (F.col(c) + j).cast("int").alias(c), F.lit(v).alias("v")) for i, j, v in steps))).alias("s"))
-        return spread.select(*raster, "component", "s.*").groupBy(*each).agg(F.sum("v").alias("v"))
+        return spread(rows, [*raster, "component"], steps, keys).groupBy(*each).agg(F.sum("v").alias("v"))
 
     cross = [(0, 0, 100), (0, 1, 1), (1, 0, 1), (0, -1, 1), (-1, 0, 1)]
     border = told(labelled, cross).where("v >= 100 and v < 104")
     ring = [(0, 0, 1), *((i, j, 2 if i * j == 0 else 10) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)]
     codes = told(border, ring).where("v % 2 = 1")
     # The published weights of the neighbourhood codes.
-    weight = F.when(F.col("v").isin(5, 7, 15, 17, 25, 27), 1.0).when(F.col("v").isin(21, 33), math.sqrt(2)).when(F.col("v").isin(13, 23), (1 + math.sqrt(2)) / 2).otherwise(0.0)
+    weights = dict.fromkeys((5, 7, 15, 17, 25, 27), 1.0) | dict.fromkeys((21, 33), math.sqrt(2)) | dict.fromkeys((13, 23), (1 + math.sqrt(2)) / 2)
+    weight = F.element_at(F.array(*(F.lit(weights.get(v, 0.0)) for v in range(50))), F.col("v").cast("int") + 1)
     return codes.groupBy(*raster, "component").agg(F.sum(weight).alias("perimeter"))
 
 
@@ -104,9 +112,7 @@ def _offsets(steps: int) -> list[tuple[int, int]]:
 
 def dilate(cells: DataFrame, raster: Sequence[str], keys: Sequence[str] = CELL, steps: int = 1) -> DataFrame:
     """The cells grown by a cross `steps` times, distinct. May leave the grid; join with it to cut."""
-    r, c = keys
-    spread = F.explode(F.array(*(F.struct((F.col(r) + i).cast("int").alias(r), (F.col(c) + j).cast("int").alias(c)) for i, j in _offsets(steps))))
-    return cells.select(*raster, spread.alias("s")).select(*raster, "s.*").distinct()
+    return spread(cells, raster, [(i, j, 0) for i, j in _offsets(steps)], keys).drop("v").distinct()
 
 
 def land_beside_water(grid: DataFrame, raster: Sequence[str], keys: Sequence[str] = CELL, state: str = "state", cloud_steps: int = 7) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import CELL, NODATA, StatisticsParams, ratio
+from .spatial import spread
 
 
 def pixel_counts(obs: DataFrame, params: StatisticsParams = StatisticsParams(), keys: Sequence[str] = CELL) -> DataFrame:
@@ -51,13 +52,11 @@ def water_statistics(obs: DataFrame, params: StatisticsParams = StatisticsParams
 def ocean_masks(stats: DataFrame, coast: DataFrame, radius: int, params: StatisticsParams = StatisticsParams(), keys: Sequence[str] = CELL) -> DataFrame:
     """Ocean (coast cells of high water probability) and the buffer of cells within `radius` cells of the coast.
 
-    Each coast cell offers itself to the cells of its disk: an equi-join on cells, whose size is coast x disk. Only coast cells with
-    a neighbour outside the coast need to: the others' disks lie within the coast's or theirs.
+    Each coast cell offers itself to the cells of its disk: an equi-join on cells, of coast x disk rows before they are made distinct.
     """
-    r, c = keys
     shore = coast.select(*keys).distinct()
-    disk = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
-    near = shore.select(F.explode(F.array(*(F.struct((F.col(r) + i).alias(r), (F.col(c) + j).alias(c)) for i, j in disk))).alias("s")).select("s.*").distinct().withColumn("_near", F.lit(True))
+    disk = [(i, j, 0) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
+    near = spread(shore, [], disk, keys).drop("v").distinct().withColumn("_near", F.lit(True))
     out = stats.join(shore.withColumn("_coast", F.lit(True)), list(keys), "left").join(near, list(keys), "left")
     return out.select(*stats.columns, (F.coalesce("_coast", F.lit(False)) & (F.col("water_prob") >= params.ocean)).alias("ocean"), F.coalesce("_near", F.lit(False)).alias("shore_buffer"))
 
