@@ -46,8 +46,11 @@ def wkt_ring(wkt: Column) -> Column:
 
 def ring_bounds(ring: Column, digits: int | None = None) -> Column:
     """West, south, east, north of a ring; with digits, rounded outwards."""
+    def axis_of(axis: str) -> Column:
+        return F.transform(ring, lambda p: p[axis])
+
     out = {}
     for name, pick, axis, turn in (("west", F.array_min, "x", F.floor), ("south", F.array_min, "y", F.floor), ("east", F.array_max, "x", F.ceil), ("north", F.array_max, "y", F.ceil)):
-        value = pick(F.transform(ring, lambda p, axis=axis: p[axis]))
+        value = pick(axis_of(axis))
         out[name] = value if digits is None else turn(value * 10.0**digits) / 10.0**digits
     return F.struct(*(v.alias(k) for k, v in out.items()))
