@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import dropped, stored  # noqa: F401
+
 #: Words everywhere in this subpackage: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,32 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every machine of the cluster sees: spark.checkpoint.dir, or a temporary one where it is unset (tests on one machine)."""
-    context = spark.sparkContext
-    place = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = context.getCheckpointDir()
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="tarnwater-")
-        context.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read back: cuts the lineage, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete what stored() wrote, once nothing reads it any more."""
-    for name in df.inputFiles()[:1]:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in smaller batches than by default, for operators that hold tables beside them; a set value stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
+def released() -> None:
+    """Give freed memory back to the system: workers live on after a task, beside those of other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:

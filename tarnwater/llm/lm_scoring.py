@@ -25,9 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, stored
+from .common import blocks, released, small_batches, stored
 
-DEPTH, SLICE, EDGE = 5, 4_000_000, b"\xff"
+DEPTH, SLICE, GATHERED, EDGE = 5, 4_000_000, 1_000_000, b"\xff"
 _MODEL: dict[str, Trie] = {}
 
 
@@ -164,7 +164,7 @@ def _fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 7
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 300_000, block: int = 8 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 300_000, block: int = 1 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs`.
 
     Learns from rows whose crc32(id as text) mod 7 is not 2; a null id is neither held out nor learned from. A null text counts
@@ -172,6 +172,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     Both scores are log10 probabilities of the text with A-Z lower-cased.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    small_batches(spark)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     def gather(batches):
@@ -188,10 +189,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
             kept.append(np.unique(contexts([t.encode() for t in texts.to_pylist()])[0], return_counts=True))
             yield pa.RecordBatch.from_arrays([words, pa.nulls(len(words), pa.int64()), pa.array(np.bincount(at, minlength=len(words)))], ["word", "code", "n"])
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([batch.num_rows], pa.int64())], ["word", "code", "n"])
-            if sum(len(x[0]) for x in kept) > SLICE:
+            if sum(len(x[0]) for x in kept) > GATHERED:
                 yield out()
         if kept:
             yield out()
+        released()
 
     counted = stored(rows.where(_fold(F.col("id")) != 2).mapInArrow(gather, "word string, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n")), "counts")
     cells, words = counted.where("code is not null").select("code", "n"), counted.where("word is not null").select("word", "n")
@@ -256,6 +258,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
                 ends_rare = np.cumsum([0, *np.bincount(pair // width, minlength=n)]).astype(np.int32)
                 listed = pa.StructArray.from_arrays([found.take(pa.array(pair % width)), pa.array(times_in.astype(np.int32))], ["word", "n"])
                 yield pa.RecordBatch.from_arrays([batch.column("row"), sums, batch.column("id"), pa.array(tokens), pa.array(sure), pa.array(base), pa.ListArray.from_arrays(pa.array(ends_rare), listed)], ["row", "score", "id", "words", "sure", "base", "rare"])
+            released()
 
         more = f", id {kind}, words long, sure long, base double, rare array<struct<word: string, n: int>>" if not number else ""
         return stored(numbered.mapInArrow(evaluate, f"row long, score double{more}"), "parts")
