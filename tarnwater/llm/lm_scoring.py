@@ -252,7 +252,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
                 place = pc.fill_null(pc.index_in(found, value_set=known), -1).to_numpy(zero_copy_only=False) if len(known) else np.full(len(found), -1)
                 value = np.append(worth, 0.0)[place]
                 tokens = np.bincount(row, minlength=n)
-                base, sure = np.bincount(row, value[at], n), np.bincount(row, (place >= 0)[at], n).astype(np.int64)
+                base, sure = np.bincount(row, value[at], n).astype(np.float64), np.bincount(row, (place >= 0)[at], n).astype(np.int64)
                 rare, width = place[at] < 0, max(len(found), 1)
                 pair, times_in = np.unique(row[rare].astype(np.int64) * width + at[rare], return_counts=True)
                 ends_rare = np.cumsum([0, *np.bincount(pair // width, minlength=n)]).astype(np.int32)
