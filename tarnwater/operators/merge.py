@@ -27,6 +27,14 @@ def priority_merge(scenes: DataFrame, keys: Sequence[str], product: Product, ord
     return scenes.groupBy(*keys).agg(best, other).select(*keys, chosen.cast("int").alias(value))
 
 
+def priority_pick(scenes: DataFrame, keys: Sequence[str], product: Product, carry: Sequence[str], order: str = "file_pos", value: str = "cls") -> DataFrame:
+    """The columns `carry` of the scene that wins the priority merge: least rank, then least `order` (below 2**48). Nodata comes last."""
+    listed = F.array(*(F.lit(c) for c in product.priority))
+    rank = F.array_position(listed, F.col(value).cast("int"))
+    place = F.when(rank > 0, rank).when(F.col(value) != product.nodata, 1000).otherwise(2000).cast("long") * F.lit(1 << 48) + F.col(order)
+    return scenes.groupBy(*keys).agg(*(F.min_by(c, place).alias(c) for c in carry))
+
+
 def min_merge(scenes: DataFrame, keys: Sequence[str], nodata: int = NODATA, value: str = "cls") -> DataFrame:
     """The least class that isn't nodata; land wins over water by its code."""
     return scenes.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col(value) != nodata, F.col(value))), F.lit(nodata)).cast("int").alias(value))
@@ -36,13 +44,13 @@ def min_positive_merge(scenes: DataFrame, keys: Sequence[str], order: str = "fil
     """Fold in file order: a later value replaces the present one if it is positive and less; with the time of the file it is from.
 
     A first value of 0 stays. Otherwise the result is the least of the first value and all positive later ones, the earliest on ties.
+    Scenes are reduced by value first; both steps are hash aggregates on plain numbers.
     """
-    first = F.min(order).alias("_first")
-    start = scenes.groupBy(*keys).agg(F.min_by(value, order).alias("_v"), F.min_by(stamp, order).alias("_t"), first)
-    least = scenes.where(F.col(value) > 0).groupBy(*keys).agg(F.min(F.struct(value, order, stamp)).alias("_p"))
-    both = start.join(least, list(keys), "left")
-    use = (F.col("_v") != 0) & (F.col(f"_p.{value}") < F.col("_v"))
-    return both.select(*keys, F.when(use, F.col(f"_p.{value}")).otherwise(F.col("_v")).cast("int").alias(value), F.when(use, F.col(f"_p.{stamp}")).otherwise(F.col("_t")).cast("int").alias(stamp))
+    by_value = scenes.groupBy(*keys, value).agg(F.min(order).alias("_o"), F.min_by(stamp, order).alias("_t"))
+    positive = F.when(F.col(value) > 0, F.col(value))
+    both = by_value.groupBy(*keys).agg(F.min_by(value, "_o").alias("_v"), F.min_by("_t", "_o").alias("_s"), F.min(positive).alias("_p"), F.min_by("_t", positive).alias("_q"))
+    use = (F.col("_v") != 0) & (F.col("_p") < F.col("_v"))
+    return both.select(*keys, F.when(use, F.col("_p")).otherwise(F.col("_v")).cast("int").alias(value), F.when(use, F.col("_q")).otherwise(F.col("_s")).cast("int").alias(stamp))
 
 
 def extent_union(extents: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

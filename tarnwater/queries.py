@@ -30,8 +30,17 @@ def query(sql: str | None = None, **more: str):
     return add
 
 
+def _obs(s, d):
+    """Daily observations (the v_obs of the SQL), as the library merges them."""
+    return merge.priority_pick(view(s, d, "v_scene"), ["cell_id", "row_i", "col_i", "obs_date", "month_key"], INTR, ["cls", "inwam"])
+
+
+def _dswx(s, d):
+    return merge.priority_merge(view(s, d, "v_scene_dswx"), ["cell_id", "row_i", "col_i", "obs_date"], DSWX)
+
+
 def _stats(s, d):
-    return statistics.water_statistics(view(s, d, "v_obs"), keys=["cell_id", "row_i", "col_i"])
+    return statistics.water_statistics(_obs(s, d), keys=["cell_id", "row_i", "col_i"])
 
 
 STATS = """stats AS (
@@ -86,7 +95,7 @@ SELECT cell_id, month_key, CAST(coalesce(max(cls) FILTER (WHERE rn = 1 AND cls <
     CASE cls WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 0 THEN 4 WHEN 9 THEN 5 WHEN 255 THEN 2000 ELSE 1000 END, obs_date) AS rn
   FROM v_obs) t GROUP BY cell_id, month_key""")
 def plain_monthly_merge(s, d):
-    return monthly.monthly_merge(view(s, d, "v_obs"), INTR, KEYS)
+    return monthly.monthly_merge(_obs(s, d), INTR, KEYS)
 
 
 @query("""
@@ -100,7 +109,7 @@ def extent_union(s, d):
 WITH a AS (SELECT cell_id, obs_date, cls FROM v_dswx) SELECT x.cell_id, x.obs_date, x.cls - y.cls AS change
 FROM a x JOIN a y ON x.cell_id = y.cell_id AND y.obs_date = x.obs_date - INTERVAL 1 DAY WHERE x.cls <> 255 AND y.cls <> 255""")
 def difference_image(s, d):
-    one = view(s, d, "v_dswx").select("cell_id", "obs_date", "cls")
+    one = _dswx(s, d).select("cell_id", "obs_date", "cls")
     return merge.difference(one, one.withColumn("obs_date", F.date_add("obs_date", 1)), ["cell_id", "obs_date"])
 
 
@@ -118,7 +127,7 @@ FROM v_obs GROUP BY cell_id""")
 def pixel_counts_cloud9(s, d):
     from .model import StatisticsParams
 
-    return statistics.pixel_counts(view(s, d, "v_obs"), StatisticsParams(cloud=9), KEYS)
+    return statistics.pixel_counts(_obs(s, d), StatisticsParams(cloud=9), KEYS)
 
 
 @query("""
@@ -126,19 +135,19 @@ SELECT cell_id, sum(CASE WHEN cls <> 255 THEN w ELSE 0.0E0 END) AS valid_weight,
   sum(CASE WHEN cls = 4 THEN w ELSE 0.0E0 END) AS cloud_weight
 FROM (SELECT cell_id, cls, CASE WHEN inwam IS NULL OR inwam = 255 THEN 0.0E0 ELSE inwam / 4.0E0 END AS w FROM v_obs) t GROUP BY cell_id""")
 def weighted_counts(s, d):
-    return statistics.weighted_counts(view(s, d, "v_obs"), keys=KEYS)
+    return statistics.weighted_counts(_obs(s, d), keys=KEYS)
 
 
 @query("""
 WITH c AS (SELECT DISTINCT cell_id FROM v_obs), m AS (SELECT cell_id, cls, row_number() OVER (PARTITION BY cell_id ORDER BY count(*) DESC, cls) AS rn FROM v_obs WHERE cls <> 255 GROUP BY cell_id, cls)
 SELECT c.cell_id, CAST(coalesce(m.cls, 255) AS INT) AS mode_class FROM c LEFT JOIN m ON c.cell_id = m.cell_id AND m.rn = 1""")
 def mode_class(s, d):
-    return statistics.mode_class(view(s, d, "v_obs"), keys=KEYS)
+    return statistics.mode_class(_obs(s, d), keys=KEYS)
 
 
 @query("SELECT cls, count(*) AS n, 100.0E0 * count(*) / sum(count(*)) OVER () AS pct FROM v_obs GROUP BY cls")
 def class_histogram(s, d):
-    return statistics.class_histogram(view(s, d, "v_obs"))
+    return statistics.class_histogram(_obs(s, d))
 
 
 @query(f"""WITH {STATS}, coast AS (SELECT row_i, col_i FROM v_dem WHERE col_i >= 8)
@@ -202,12 +211,12 @@ VOTE = """weighed AS (
 
 @query(f"WITH {STATS}, {QUALITY} SELECT *, cloud_frac <= 0.6 AND valid_frac >= 0.2 AND mismatch <= 0.3 AS passes FROM quality WHERE (SELECT count(*) FROM v_obs) >= 0")
 def daily_qc(s, d):
-    return monthly.daily_quality(view(s, d, "v_obs"), _stats(s, d), keys=KEYS)
+    return monthly.daily_quality(_obs(s, d), _stats(s, d), keys=KEYS)
 
 
 def _monthly(s, d):
     """The month's composite, cell by cell, with the cell's row and column."""
-    obs, stats = view(s, d, "v_obs"), _stats(s, d)
+    obs, stats = _obs(s, d), _stats(s, d)
     passed = monthly.passing(obs, monthly.daily_quality(obs, stats, keys=KEYS))
     return monthly.monthly_vote(passed, stats, keys=("cell_id", "row_i", "col_i"))
 
@@ -219,7 +228,7 @@ def monthly_vote(s, d):
 
 @query(f"WITH {STATS}, {QUALITY.replace('<= 0.3)', '<= 0.3 AND q.water_frac >= 0.1)')}, {VOTE} SELECT month_key, cell_id, cls FROM monthly WHERE (SELECT count(*) FROM v_obs) >= 0")
 def monthly_vote_min_water(s, d):
-    obs, stats = view(s, d, "v_obs"), _stats(s, d)
+    obs, stats = _obs(s, d), _stats(s, d)
     passed = monthly.passing(obs, monthly.daily_quality(obs, stats, MonthlyParams(min_daily_water=0.1), KEYS))
     return monthly.monthly_vote(passed, stats, keys=("cell_id",))
 
@@ -334,7 +343,7 @@ def water_kinds(s, d):
 WITH raw AS (SELECT DISTINCT month_key, 0 AS cleaned FROM v_obs), done AS (SELECT DISTINCT month_key, 1 AS cleaned FROM v_obs WHERE month_key % 2 = 0)
 SELECT * FROM done UNION ALL SELECT * FROM raw WHERE month_key NOT IN (SELECT month_key FROM done)""")
 def one_per_month(s, d):
-    raw = view(s, d, "v_obs").select("month_key").distinct()
+    raw = _obs(s, d).select("month_key").distinct()
     return metrics.one_per_month(raw.where("month_key % 2 = 0").withColumn("cleaned", F.lit(1)), raw.withColumn("cleaned", F.lit(0)))
 
 
@@ -496,41 +505,41 @@ ENDS = f"""{RANKED}, e AS (SELECT cell_id, arg_min(cls, a) FILTER (WHERE a <= 3
 
 @query(f"WITH {FREQ} SELECT cell_id, water_pct FROM f WHERE (SELECT count(*) FROM v_dswx) >= 0")
 def water_frequency(s, d):
-    return derivatives.water_frequency(view(s, d, "v_dswx"), KEYS)
+    return derivatives.water_frequency(_dswx(s, d), KEYS)
 
 
 @query(f"WITH {FREQ} SELECT cell_id, water_pct, CASE WHEN water_pct >= 95 THEN 2 WHEN water_pct > 0 THEN 1 ELSE 0 END AS persistence, CASE WHEN water_pct = 100 THEN 2 WHEN water_pct > 0 THEN 1 ELSE 0 END AS season_type FROM f WHERE (SELECT count(*) FROM v_dswx) >= 0")
 def persistence(s, d):
-    return derivatives.season_type(derivatives.persistence(derivatives.water_frequency(view(s, d, "v_dswx"), KEYS)))
+    return derivatives.season_type(derivatives.persistence(derivatives.water_frequency(_dswx(s, d), KEYS)))
 
 
 @query(f"""WITH {RANKED} SELECT cell_id, avg(CASE WHEN cls IN (1, 2) THEN 1.0E0 ELSE 0.0E0 END) FILTER (WHERE z <= 3) - avg(CASE WHEN cls IN (1, 2) THEN 1.0E0 ELSE 0.0E0 END) FILTER (WHERE a <= 3) AS change
 FROM k WHERE (SELECT count(*) FROM v_dswx) >= 0 GROUP BY cell_id""")
 def water_change(s, d):
-    return derivatives.water_change(view(s, d, "v_dswx"), keys=KEYS)
+    return derivatives.water_change(_dswx(s, d), keys=KEYS)
 
 
 @query(f"WITH {ENDS} SELECT cell_id, initial, final FROM e WHERE (SELECT count(*) FROM v_dswx) >= 0")
 def first_valid_composite(s, d):
-    return derivatives.first_and_last(view(s, d, "v_dswx"), KEYS)
+    return derivatives.first_and_last(_dswx(s, d), KEYS)
 
 
 @query(f"""WITH {ENDS} SELECT cell_id, CASE WHEN initial = 1 AND final = 1 THEN 0 WHEN initial = 0 AND final = 1 THEN 1 WHEN initial = 1 AND final = 0 THEN 2 WHEN initial = 2 AND final = 2 THEN 3 WHEN initial = 0 AND final = 2 THEN 4
   WHEN initial = 2 AND final = 0 THEN 5 WHEN initial = 1 AND final = 2 THEN 6 WHEN initial = 2 AND final = 1 THEN 7 END AS transition FROM e WHERE (SELECT count(*) FROM v_dswx) >= 0""")
 def transitions(s, d):
-    ends = derivatives.first_and_last(view(s, d, "v_dswx"), KEYS)
+    ends = derivatives.first_and_last(_dswx(s, d), KEYS)
     return ends.select("cell_id", derivatives.transitions(F.col("initial"), F.col("final")).alias("transition"))
 
 
 @query(f"WITH {ENDS}, {FREQ} SELECT e.cell_id, CASE WHEN NOT ((initial = 0 AND final = 0) OR water_pct >= 95) THEN final - initial END AS change FROM e JOIN f ON e.cell_id = f.cell_id WHERE (SELECT count(*) FROM v_dswx) >= 0")
 def change_map(s, d):
-    stack = view(s, d, "v_dswx")
+    stack = _dswx(s, d)
     return derivatives.change_map(derivatives.first_and_last(stack, KEYS), derivatives.water_frequency(stack, KEYS), keys=KEYS)
 
 
 @query("SELECT obs_date, CASE WHEN cls <= 200 THEN cls END AS cls FROM v_dswx WHERE cell_id = 42")
 def pixel_series(s, d):
-    return derivatives.pixel_series(view(s, d, "v_dswx"), {"cell_id": 42})
+    return derivatives.pixel_series(_dswx(s, d), {"cell_id": 42})
 
 
 # --- elevation
@@ -720,7 +729,7 @@ def date_chunks(s, d):
 
 @query("SELECT obs_date, count(*) AS n FROM v_obs WHERE obs_date BETWEEN date '1994-03-01' AND date '1995-02-28' GROUP BY obs_date")
 def date_filter(s, d):
-    return catalog.between_dates(view(s, d, "v_obs"), "1994-03-01", "1995-02-28").groupBy("obs_date").agg(F.count("*").alias("n"))
+    return catalog.between_dates(_obs(s, d), "1994-03-01", "1995-02-28").groupBy("obs_date").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CASE WHEN length < 1024 THEN 'broken' WHEN length % 2 = 0 THEN 'created' ELSE 'skipped' END AS status, count(*) AS n FROM v_file GROUP BY 1")
