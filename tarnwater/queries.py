@@ -24,7 +24,7 @@ def query(sql: str | None = None, **more: str):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = with_views(sql)
+            SQL[f.__name__] = sql if sql in SQL.values() else with_views(sql)
         return f
 
     return add
@@ -763,3 +763,168 @@ def crop_window(s, d):
 ON abs(a.row_i - b.row_i) + abs(a.col_i - b.col_i) <= 2 WHERE a.elev = 905""")
 def dilate_lake(s, d):
     return spatial.dilate(view(s, d, "v_dem").where("elev = 905").select("row_i", "col_i"), [], steps=2)
+
+
+# --- names, places and further lookups
+
+
+@query("SELECT ts, CAST(datediff('minute', TIMESTAMP '2023-01-01 00:00:00', date_trunc('minute', ts)) AS INT) AS minutes, round(year(ts) + (dayofyear(ts) - 1) / CAST(date_diff('day', make_date(year(ts), 1, 1), make_date(year(ts) + 1, 1, 1)) AS DOUBLE), 9) AS decimal_year FROM v_hourly")
+def acquisition_times(s, d):
+    ts = F.date_trunc("minute", "ts").cast("timestamp_ntz")
+    return view(s, d, "v_hourly").select("ts", names.epoch_minutes(ts).alias("minutes"), F.round(names.decimal_year(F.to_date("ts")), 9).alias("decimal_year"))
+
+
+ORBIT = "CONCAT('SWOT_L2_HR_LakeSP_Obs_', lpad(CAST(lake_id % 30 AS VARCHAR(5)), 3, '0'), '_', lpad(CAST(lake_id AS VARCHAR(5)), 3, '0'), '_NA_2023', lpad(CAST(1 + lake_id % 12 AS VARCHAR(5)), 2, '0'), '01T010203_PIC0.zip')"
+
+
+@query(f"SELECT lake_id, split_part(f, '_', 6) AS cycle, split_part(f, '_', 7) AS pass, split_part(f, '_', 9) AS stamp FROM (SELECT lake_id, {ORBIT} AS f FROM v_lake) t")
+def orbit_names(s, d):
+    return view(s, d, "v_lake").select("lake_id", names.orbit(F.expr(ORBIT)).alias("o")).select("lake_id", "o.*")
+
+
+@query("SELECT event_id, TRY_CAST(replace(CASE WHEN event_id % 3 = 0 THEN CONCAT('1,', feet) ELSE feet END, ',', '') AS FLOAT) AS v FROM v_gauge")
+def clean_numbers(s, d):
+    return view(s, d, "v_gauge").select("event_id", names.clean_number(F.expr("case when event_id % 3 = 0 then concat('1,', feet) else feet end")).alias("v"))
+
+
+@query("SELECT lake_id, CASE WHEN lake_id % 4 = 0 THEN 0.5E0 ELSE CAST(lake_id % 7 AS DOUBLE) / 8 END AS fraction FROM v_lake")
+def fractions(s, d):
+    text = F.expr("case when lake_id % 4 = 0 then '0.5' else concat(lake_id % 7, '/8') end")
+    return view(s, d, "v_lake").select("lake_id", names.fraction(text).alias("fraction"))
+
+
+@query("SELECT lake_id, round(30 / (111320.0E0 * cos(radians(x_m / 200 - 25))), 12) AS lon, round(30 / 111320.0E0, 12) AS lat FROM v_lake")
+def degrees_per_pixel(s, d):
+    x = view(s, d, "v_lake").select("lake_id", geo.degrees_per_pixel(F.lit(30.0), F.col("x_m") / 200 - 25).alias("p"))
+    return x.select("lake_id", F.round("p.lon", 12).alias("lon"), F.round("p.lat", 12).alias("lat"))
+
+
+@query("""SELECT lake_id, floor((x_m / 128 - 30) * 10) / 10 AS west, floor((y_m / 128) * 10) / 10 AS south, ceil((x_m / 128 - 28) * 10) / 10 AS east, ceil((y_m / 128 + 3) * 10) / 10 AS north FROM v_lake""")
+def polygon_bounds(s, d):
+    x, y = F.col("x_m") / 128 - 30, F.col("y_m") / 128
+    corner = lambda a, b: F.concat(a.cast("string"), F.lit(" "), b.cast("string"))
+    wkt = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", corner(x, y), corner(x + 2, y), corner(x + 2, y + 3), corner(x, y + 3), corner(x, y)), F.lit("))"))
+    return view(s, d, "v_lake").select("lake_id", geo.ring_bounds(geo.wkt_ring(wkt), 1).alias("b")).select("lake_id", "b.*")
+
+
+@query("SELECT cell_id, 30.0E0 * col_i + 1000 AS x, 5000 - 30.0E0 * row_i AS y, CAST(floor((4990 - 12.5E0 * row_i - 5000) / -30) AS INT) AS \"row\", CAST(floor((12.5E0 * col_i) / 30) AS INT) AS col FROM v_dem")
+def affine(s, d):
+    g = {"a": 30.0, "b": 0.0, "c": 1000.0, "d": 0.0, "e": -30.0, "f": 5000.0}
+    at = geo.geo_to_pixel(1000 + 12.5 * F.col("col_i"), 4990 - 12.5 * F.col("row_i"), g)
+    return view(s, d, "v_dem").select("cell_id", geo.pixel_to_geo(F.col("row_i"), F.col("col_i"), g).alias("p"), at.alias("q")).select("cell_id", "p.*", "q.*")
+
+
+@query("""WITH p AS (SELECT lake_id, x_m / 1300 AS x, y_m / 1300 AS y FROM v_lake),
+c AS (SELECT p.*, (1 - abs(p.x - v.col_i)) * (1 - abs(p.y - v.row_i)) AS w, v.elev FROM p JOIN v_dem v ON v.col_i IN (floor(p.x), floor(p.x) + 1) AND v.row_i IN (floor(p.y), floor(p.y) + 1))
+SELECT lake_id, x, y, round(sum(w * elev) / sum(w), 6) AS elev FROM c GROUP BY lake_id, x, y""")
+def bilinear_elevation(s, d):
+    points = view(s, d, "v_lake").select("lake_id", (F.col("x_m") / 1300).alias("x"), (F.col("y_m") / 1300).alias("y"))
+    return spatial.bilinear(view(s, d, "v_dem"), points, "elev").withColumn("elev", F.round("elev", 6))
+
+
+RECTANGLE = ((1.3, 2.2), (6.7, 2.2), (6.7, 5.9), (1.3, 5.9))
+
+
+def _ring(points):
+    return F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points))
+
+
+@query("""SELECT row_i, col_i FROM (SELECT row_i, col_i, greatest(1.3 - (col_i + 0.5), 0, col_i + 0.5 - 6.7) AS dx, greatest(2.2 - (row_i + 0.5), 0, row_i + 0.5 - 5.9) AS dy FROM v_dem) t WHERE sqrt(dx * dx + dy * dy) <= sqrt(0.5)""")
+def rasterize(s, d):
+    return spatial.rasterize(view(s, d, "v_dem"), s.range(1).select(_ring(RECTANGLE).alias("ring")))
+
+
+@query("""SELECT lake_id, round(sqrt(power(greatest(2000.0E0 - x_m, 0, x_m - 6000), 2) + power(greatest(1500.0E0 - y_m, 0, y_m - 4500), 2)), 6) AS distance FROM v_lake""")
+def polygon_distance(s, d):
+    ring = _ring(((2000, 1500), (6000, 1500), (6000, 4500), (2000, 4500)))
+    return view(s, d, "v_lake").select("lake_id", F.round(spatial.polygon_distance(F.col("x_m"), F.col("y_m"), ring), 6).alias("distance"))
+
+
+@query("SELECT lake_id FROM v_lake WHERE 5050 BETWEEN x_m AND x_m + 3000 AND 4050 BETWEEN y_m AND y_m + 3000 ORDER BY lake_id LIMIT 1")
+def containing_lake(s, d):
+    corner = lambda i, j: F.struct((F.col("x_m") + i).alias("x"), (F.col("y_m") + j).alias("y"))
+    lakes = view(s, d, "v_lake").withColumn("ring", F.array(corner(0.0, 0.0), corner(3000.0, 0.0), corner(3000.0, 3000.0), corner(0.0, 3000.0)))
+    return altimetry.containing_feature(lakes, 5050.0, 4050.0).select("lake_id")
+
+
+@query("SELECT lake_id FROM v_lake WHERE x_m <= 6000 AND x_m + 500 >= 3000 AND y_m <= 7000 AND y_m + 500 >= 2000")
+def box_filter(s, d):
+    return view(s, d, "v_lake").where(spatial.boxes_meet(F.col("x_m"), F.col("y_m"), F.col("x_m") + 500, F.col("y_m") + 500, (3000, 2000, 6000, 7000))).select("lake_id")
+
+
+@query("SELECT cell_id, CAST(round_even(row_i * 4 / 9.0E0, 0) AS INT) AS r, CAST(round_even(col_i * 24 / 9.0E0, 0) AS INT) AS c FROM v_dem")
+def zoom_indices(s, d):
+    return view(s, d, "v_dem").select("cell_id", spatial.zoom_index(F.col("row_i"), 10, 5).alias("r"), spatial.zoom_index(F.col("col_i"), 10, 25).alias("c"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN substr(scene_id, 1, 4) END AS sensor FROM v_scene_name")
+def metadata_field(s, d):
+    fields = F.expr("array(named_struct('fieldName', if(o_orderkey % 2 = 0, 'Sensor', 'Other'), 'value', substr(scene_id, 1, 4)), named_struct('fieldName', 'Id', 'value', scene_id))")
+    return view(s, d, "v_scene_name").select("o_orderkey", names.field_value(fields, "Sensor").alias("sensor"))
+
+
+@query("SELECT lake_id FROM v_lake WHERE lake_id % 3 = 1")
+def of_zone(s, d):
+    files = view(s, d, "v_lake").withColumn("path", F.expr("concat('SWOT_L2_HR_Raster_100m_UTM', 10 + lake_id % 3, 'S_N_x.nc')"))
+    return altimetry.of_zone(files, "11S").select("lake_id")
+
+
+@query("SELECT granule_id FROM v_file WHERE length % 100 <= 40")
+def clear_enough(s, d):
+    items = view(s, d, "v_file").withColumn("eo:cloud_cover", F.col("length") % 100)
+    return catalog.clear_enough(items, 40).select("granule_id")
+
+
+@query("SELECT granule_id FROM v_file WHERE contains(lower(path), 'conf') OR contains(lower(path), 'wtr-2')")
+def known_datasets(s, d):
+    return catalog.known_datasets(view(s, d, "v_file").withColumn("dataset", F.col("path")), ["CONF", "wtr-2"]).select("granule_id")
+
+
+@query("SELECT * FROM (SELECT \"start\", stop, CAST(date_diff('day', lag(stop) OVER (ORDER BY \"start\"), \"start\") - 1 AS INT) AS gap_days FROM (SELECT DISTINCT obs_date AS \"start\", obs_date AS stop FROM v_obs WHERE day(obs_date) % 4 <> 0) t) u WHERE gap_days <> 0")
+def date_gaps(s, d):
+    days = _obs(s, d).where("day(obs_date) % 4 <> 0").select(F.col("obs_date").alias("start")).distinct()
+    return catalog.gaps(days.withColumn("stop", F.col("start")))
+
+
+@query("SELECT ts, cell_id, tp FROM v_hourly WHERE cell_id % 2 = 0")
+def final_version(s, d):
+    return resample.of_version(view(s, d, "v_hourly").withColumn("expver", F.when(F.col("cell_id") % 2 == 0, 1).otherwise(5)))
+
+
+@query("SELECT month_key, area_km2 AS value, 'water' AS source FROM v_series UNION ALL SELECT month_key, index_value, 'index' FROM v_index")
+def together(s, d):
+    return resample.together(water=view(s, d, "v_series").select("month_key", F.col("area_km2").alias("value")), index=view(s, d, "v_index").select("month_key", F.col("index_value").alias("value")))
+
+
+@query(f"WITH {FREQ} SELECT cell_id, CASE WHEN water_pct >= 5 THEN water_pct END AS shown FROM f WHERE (SELECT count(*) FROM v_dswx) >= 0")
+def shown_frequency(s, d):
+    return derivatives.water_frequency(_dswx(s, d), KEYS).select("cell_id", derivatives.shown_frequency(F.col("water_pct")).alias("shown"))
+
+
+@query("""WITH t AS (SELECT l_suppkey % 20 AS k, CAST(l_quantity AS DOUBLE) AS v FROM lineitem), m AS (SELECT k, median(v) AS median_elev, max(v) AS mode_elev FROM t GROUP BY k)
+SELECT round(avg(median_elev), 6) AS median_elev_mean, min(median_elev) AS median_elev_min, max(median_elev) AS median_elev_max, round(avg(mode_elev), 6) AS mode_elev_mean, min(mode_elev) AS mode_elev_min, max(mode_elev) AS mode_elev_max FROM m""")
+def elevation_summary(s, d):
+    rows = s.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_suppkey") % 20).alias("k")).agg(F.median("l_quantity").alias("median_elev"), F.max("l_quantity").alias("mode_elev"))
+    x = elevation.elevation_summary(rows)
+    return x.select(*(F.round(c, 6).alias(c) if c.endswith("mean") else c for c in x.columns))
+
+
+@query(f"""WITH {STATS}, {QUALITY}, {VOTE} SELECT CAST(month_key AS INT) AS month_key, CAST(floor(month_key / 100) AS INT) AS year_i, CAST(month_key % 100 AS INT) AS month_i, round(count(*) FILTER (WHERE cls IN (1, 2, 3, 4)) * 0.0009E0, 9) AS total_area_km2,
+  count(*) FILTER (WHERE cls <> 255) AS valid_pixels FROM monthly WHERE (SELECT count(*) FROM v_obs) >= 0 GROUP BY month_key""")
+def monthly_metrics(s, d):
+    rows = metrics.monthly_metrics(_monthly(s, d).select("month_key", "row_i", "col_i", "cls"), _stats(s, d), 0.0009)
+    return rows.select("month_key", "year_i", "month_i", F.round("total_area_km2", 9).alias("total_area_km2"), "valid_pixels")
+
+
+@query(SQL["water_statistics"])
+def streamed_statistics(s, d):
+    """The statistics of a stream of observations, as the counters keep them."""
+    from .storage import stored
+    from .streaming import counters
+
+    keys = ["cell_id", "row_i", "col_i"]
+    obs = stored(_obs(s, d), "arriving")
+    place = obs.inputFiles()[0].rsplit("/", 1)[0]
+    stream = s.readStream.schema(obs.schema).parquet(place)
+    counters.follow(stream, f"{place}-counts", f"{place}-progress", keys).awaitTermination()
+    return counters.statistics(s, f"{place}-counts", keys=keys).select(*_stats(s, d).columns)

@@ -118,3 +118,17 @@ def test_stream_keeps_the_same_statistics(spark, tmp_path):
     assert sorted(map(str, got.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
     counters.compact(spark, str(tmp_path / "counts"), str(tmp_path / "one"))
     assert counters.statistics(spark, str(tmp_path / "one")).count() == 16
+
+
+def test_intermediates_can_be_deleted(spark):
+    from tarnwater import storage
+
+    df = storage.stored(spark.range(5), "some")
+    assert df.count() == 5
+    storage.dropped(spark, df)
+    path = storage.stored(spark.range(3), "more").inputFiles()[0].removeprefix("file:")
+    import os
+
+    assert os.path.exists(path)
+    storage.release(spark)
+    assert not os.path.exists(path)
