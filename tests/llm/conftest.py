@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import Row  # noqa: F401
 
 VOCABULARY = "byte_bpe_50k.json"
 
