@@ -194,10 +194,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
 
 
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with score >= threshold, all columns. Features of labelled rows alone are gathered for the fit."""
-    marked = docs.join(labels.where("quality is not null").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
-    known = features(marked, id_col, text_col)
-    model = learn(stored(known.where(F.crc32(F.col("id").cast("string")) % 5 != 0), "features"), labels, sample)
+    """The rows of `docs` with score >= threshold, all columns. Features, not texts, are joined with the labels."""
+    known = stored(features(docs.where(F.crc32(docs[id_col].cast("string")) % 5 != 0), id_col, text_col), "features")
+    model = learn(known, labels, sample)
 
     def decide(texts):
         classes = _classes()
