@@ -185,3 +185,13 @@ def test_whole_plan(spark):
     assert len(out) == 4 and all(r["num_water_bodies"] == 1 and r["total_area_km2"] == pytest.approx(32 * 0.0009) for r in out)
     assert metrics.one_per_month(cleaned, cleaned).count() == cleaned.count()
     assert set(plan.trends(plan.series_of(cleaned, stats, 0.0009))) == {"linear", "mann_kendall", "sen"}
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    from tarnwater.operators.graph import components
+
+    edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 180)] + [(300, 200), (200, 250), (250, 300), (5, 5), (None, 4), (7, None), (170, 171)]
+    df = spark.createDataFrame([(b, a) if a and a % 2 else (a, b) for a, b in edges], "a long, b long")
+    got = {r["node"]: r["component"] for r in components(df).collect()}
+    assert got == dict.fromkeys(range(61), 0) | dict.fromkeys(range(100, 180), 100) | dict.fromkeys((200, 250, 300), 200)
+    assert components(df.limit(0)).count() == 0
