@@ -60,7 +60,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1
     Rows that repeat an id are rows of their own; a null id takes its group's smallest id, if there is one. An empty table gives
     no rows.
     """
-    spark, kind = vectors.sparkSession, vectors.schema[id_col].dataType.simpleString()
+    kind = vectors.schema[id_col].dataType.simpleString()
+    exact = np.float32 if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else np.float64
     good = F.expr("label is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
     rows = vectors.select(vectors[id_col].alias("id"), vectors[label_col].alias("label"), vectors[vector_col].alias("v"))
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
@@ -78,13 +79,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1
                 for dim in np.unique(sizes):
                     at = np.flatnonzero(sizes == dim)
                     data = np.array([lists[i] for i in at], np.float64)
+                    sent = pa.array([d.tobytes() for d in data.astype(exact)], pa.binary())
                     if dim not in planes:
                         planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), tables * bits))
-                    # scaled by the largest component, lest products overflow or vanish
                     data /= np.abs(data).max(axis=1, keepdims=True)
                     up = (data @ planes[dim] > 0).reshape(len(at), tables, bits)
                     signs = (up @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(at)), pa.array([s.tobytes() for s in signs], pa.binary()), pa.array(signs.tolist(), pa.list_(pa.int32())), pa.array([d.tobytes() for d in data], pa.binary())], ["node", "signs", "buckets", "data"])
+                    yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(at)), pa.array([s.tobytes() for s in signs], pa.binary()), pa.array(signs.tolist(), pa.list_(pa.int32())), sent], ["node", "signs", "buckets", "data"])
 
     signed = stored(single.select("node", "v").mapInArrow(sign, "node long, signs binary, buckets array<int>, data binary").join(single.select("node", "label", "n"), "node"), "signed")
     placed = signed.select("node", "n", "signs", "data", "label", F.posexplode("buckets").alias("t", "bucket"))
@@ -107,7 +108,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1
             if t.num_rows < 2:
                 return None
             node, n, side = (t.column(c).to_numpy() for c in ("node", "n", "side"))
-            data = np.frombuffer(b"".join(t.column("data").to_pylist()), np.float64).reshape(len(node), -1)
+            data = np.frombuffer(b"".join(t.column("data").to_pylist()), exact).astype(np.float64).reshape(len(node), -1)
+            data /= np.abs(data).max(axis=1, keepdims=True)  # lest products overflow or vanish
             signs = np.frombuffer(b"".join(t.column("signs").to_pylist()), np.int32).reshape(len(node), -1)
             found = _links(node, n, data, signs, t.column("t")[0].as_py(), side.astype(bool), threshold)
             return found and pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["node", "links", "least"])
