@@ -80,8 +80,12 @@ def label_components(cells: DataFrame, raster: Sequence[str], keys: Sequence[str
     for column in keys:
         edge = edge | (F.pmod(F.col(column), F.lit(tile)).isin(0, tile - 1))
     border = labelled.where(edge)
-    moved = spread(border.withColumnRenamed("_label", "a"), [*raster, "a"], [(i, j, 0) for i, j in steps], keys).drop("v")
+    tile_of = lambda column: F.floor(F.col(column) / tile).cast("int")
+    named = border.select(*raster, *keys, F.col("_label").alias("a"), tile_of(r).alias("_tr"), tile_of(c).alias("_tc"))
+    moved = spread(named, [*raster, "a", "_tr", "_tc"], [(i, j, 0) for i, j in steps], keys).where((tile_of(r) != F.col("_tr")) | (tile_of(c) != F.col("_tc")))
     links = moved.join(border.withColumnRenamed("_label", "b"), [*raster, *keys]).where("a <> b").select("a", "b").distinct()
+    if links.isEmpty():  # rasters of one tile
+        return labelled.withColumnRenamed("_label", "component")
     joined = components(links)
     return labelled.join(joined, labelled["_label"] == joined["node"], "left").select(*raster, *keys, F.coalesce("component", "_label").alias("component"))
 
