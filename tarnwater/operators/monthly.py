@@ -34,8 +34,8 @@ def daily_quality(obs: DataFrame, stats: DataFrame, params: MonthlyParams = Mont
 
 
 def passing(obs: DataFrame, quality: DataFrame, day: str = "obs_date") -> DataFrame:
-    """Observations of the dates that pass: a semi-join with a table of dates."""
-    return obs.join(quality.where("passes").select(day), day, "left_semi")
+    """Observations of the dates that pass. Dates are days of a calendar, thousands at most, and are broadcast."""
+    return obs.join(F.broadcast(quality.where("passes").select(day)), day, "left_semi")
 
 
 def weight(cls: Column, inwam: Column) -> Column:

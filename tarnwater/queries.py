@@ -11,6 +11,7 @@ from .functions import geo, names
 from .model import DSWX, INTR, MonthlyParams
 from .operators import altimetry, catalog, clean, compare, derivatives, elevation, merge, metrics, monthly, resample, series, spatial, statistics
 from .sources.fixtures import view, with_views
+from .storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,14 +212,20 @@ VOTE = """weighed AS (
 
 @query(f"WITH {STATS}, {QUALITY} SELECT *, cloud_frac <= 0.6 AND valid_frac >= 0.2 AND mismatch <= 0.3 AS passes FROM quality WHERE (SELECT count(*) FROM v_obs) >= 0")
 def daily_qc(s, d):
-    return monthly.daily_quality(_obs(s, d), _stats(s, d), keys=KEYS)
+    obs = stored(_obs(s, d), "observations")
+    return monthly.daily_quality(obs, statistics.water_statistics(obs, keys=KEYS), keys=KEYS)
 
 
-def _monthly(s, d):
-    """The month's composite, cell by cell, with the cell's row and column."""
-    obs, stats = _obs(s, d), _stats(s, d)
+def _both(s, d):
+    """The month's composite by cell, and the statistics; daily observations are merged and written once."""
+    obs = stored(_obs(s, d), "observations")
+    stats = stored(statistics.water_statistics(obs, keys=["cell_id", "row_i", "col_i"]), "statistics")
     passed = monthly.passing(obs, monthly.daily_quality(obs, stats, keys=KEYS))
-    return monthly.monthly_vote(passed, stats, keys=("cell_id", "row_i", "col_i"))
+    return monthly.monthly_vote(passed, stats, keys=("cell_id", "row_i", "col_i")), stats
+
+
+def _monthly(s, d):
+    return _both(s, d)[0]
 
 
 @query(f"WITH {STATS}, {QUALITY}, {VOTE} SELECT month_key, cell_id, cls FROM monthly WHERE (SELECT count(*) FROM v_obs) >= 0")
@@ -228,7 +235,8 @@ def monthly_vote(s, d):
 
 @query(f"WITH {STATS}, {QUALITY.replace('<= 0.3)', '<= 0.3 AND q.water_frac >= 0.1)')}, {VOTE} SELECT month_key, cell_id, cls FROM monthly WHERE (SELECT count(*) FROM v_obs) >= 0")
 def monthly_vote_min_water(s, d):
-    obs, stats = _obs(s, d), _stats(s, d)
+    obs = stored(_obs(s, d), "observations")
+    stats = stored(statistics.water_statistics(obs, keys=["cell_id", "row_i", "col_i"]), "statistics")
     passed = monthly.passing(obs, monthly.daily_quality(obs, stats, MonthlyParams(min_daily_water=0.1), KEYS))
     return monthly.monthly_vote(passed, stats, keys=("cell_id",))
 
@@ -255,8 +263,8 @@ FILLED = """tried AS (
 
 def _fill(with_inwam: bool):
     def run(s, d):
-        m = _monthly(s, d).select("month_key", "cell_id", "cls")
-        masked = clean.apply_masks(clean.densify(m, KEYS), _stats(s, d), KEYS)
+        m, stats = _both(s, d)
+        masked = clean.apply_masks(clean.densify(m.select("month_key", "cell_id", "cls"), KEYS), stats, KEYS)
         return clean.temporal_fill(masked, with_inwam=with_inwam, keys=KEYS).select("month_key", "cell_id", F.col("cleaned").cast("int").alias("cls"), "confidence")
 
     return run
@@ -264,8 +272,8 @@ def _fill(with_inwam: bool):
 
 @query(f"WITH {STATS}, {QUALITY}, {VOTE}, {DENSE} SELECT month_key, cell_id, cls, CAST(cleaned AS INT) AS cleaned, CAST(confidence AS INT) AS confidence FROM masked WHERE (SELECT count(*) FROM v_obs) >= 0")
 def mask_chain(s, d):
-    m = _monthly(s, d).select("month_key", "cell_id", "cls")
-    return clean.apply_masks(clean.densify(m, KEYS), _stats(s, d), KEYS).select("month_key", "cell_id", "cls", "cleaned", "confidence")
+    m, stats = _both(s, d)
+    return clean.apply_masks(clean.densify(m.select("month_key", "cell_id", "cls"), KEYS), stats, KEYS).select("month_key", "cell_id", "cls", "cleaned", "confidence")
 
 
 @query(f"WITH {STATS}, {QUALITY}, {VOTE}, {DENSE}, {FILLED.format(ok='cls IN (1, 2)')} SELECT * FROM filled WHERE (SELECT count(*) FROM v_obs) >= 0")
@@ -293,8 +301,8 @@ small AS (SELECT month_key, component FROM labels GROUP BY month_key, component
 SELECT f.month_key, f.cell_id, CAST(CASE WHEN s.component IS NOT NULL THEN 0 ELSE f.cls END AS INT) AS cls, f.confidence
 FROM filled f LEFT JOIN labels l ON f.month_key = l.month_key AND f.cell_id = l.cell_id LEFT JOIN small s ON l.month_key = s.month_key AND l.component = s.component WHERE (SELECT count(*) FROM v_obs) >= 0""")
 def despeckle(s, d):
-    m = _monthly(s, d).select("month_key", "row_i", "col_i", "cls")
-    return clean.clean_monthly(m, _stats(s, d)).select("month_key", (F.col("row_i") * 10 + F.col("col_i")).alias("cell_id"), "cls", "confidence")
+    m, stats = _both(s, d)
+    return clean.clean_monthly(m.select("month_key", "row_i", "col_i", "cls"), stats).select("month_key", (F.col("row_i") * 10 + F.col("col_i")).alias("cell_id"), "cls", "confidence")
 
 
 # --- metrics
@@ -307,7 +315,8 @@ SELECT m.month_key, count(*) FILTER (WHERE cls IN (1, 2, 3, 4)) * 0.0009E0 AS to
   CAST(count(*) FILTER (WHERE cls = 9) AS DOUBLE) / count(*) AS cloud_fraction
 FROM monthly m JOIN wstats w ON m.cell_id = w.cell_id WHERE (SELECT count(*) FROM v_obs) >= 0 GROUP BY m.month_key""")
 def month_area_metrics(s, d):
-    return metrics.month_areas(_monthly(s, d), _stats(s, d), 0.0009, keys=KEYS)
+    m, stats = _both(s, d)
+    return metrics.month_areas(m, stats, 0.0009, keys=KEYS)
 
 
 #: Weights of border cells by the code of their neighbourhood, as in the operator.
@@ -521,19 +530,19 @@ def water_change(s, d):
 
 @query(f"WITH {ENDS} SELECT cell_id, initial, final FROM e WHERE (SELECT count(*) FROM v_dswx) >= 0")
 def first_valid_composite(s, d):
-    return derivatives.first_and_last(_dswx(s, d), KEYS)
+    return derivatives.first_and_last(stored(_dswx(s, d), "stack"), KEYS)
 
 
 @query(f"""WITH {ENDS} SELECT cell_id, CASE WHEN initial = 1 AND final = 1 THEN 0 WHEN initial = 0 AND final = 1 THEN 1 WHEN initial = 1 AND final = 0 THEN 2 WHEN initial = 2 AND final = 2 THEN 3 WHEN initial = 0 AND final = 2 THEN 4
   WHEN initial = 2 AND final = 0 THEN 5 WHEN initial = 1 AND final = 2 THEN 6 WHEN initial = 2 AND final = 1 THEN 7 END AS transition FROM e WHERE (SELECT count(*) FROM v_dswx) >= 0""")
 def transitions(s, d):
-    ends = derivatives.first_and_last(_dswx(s, d), KEYS)
+    ends = derivatives.first_and_last(stored(_dswx(s, d), "stack"), KEYS)
     return ends.select("cell_id", derivatives.transitions(F.col("initial"), F.col("final")).alias("transition"))
 
 
 @query(f"WITH {ENDS}, {FREQ} SELECT e.cell_id, CASE WHEN NOT ((initial = 0 AND final = 0) OR water_pct >= 95) THEN final - initial END AS change FROM e JOIN f ON e.cell_id = f.cell_id WHERE (SELECT count(*) FROM v_dswx) >= 0")
 def change_map(s, d):
-    stack = _dswx(s, d)
+    stack = stored(_dswx(s, d), "stack")
     return derivatives.change_map(derivatives.first_and_last(stack, KEYS), derivatives.water_frequency(stack, KEYS), keys=KEYS)
 
 
@@ -912,14 +921,14 @@ def elevation_summary(s, d):
 @query(f"""WITH {STATS}, {QUALITY}, {VOTE} SELECT CAST(month_key AS INT) AS month_key, CAST(floor(month_key / 100) AS INT) AS year_i, CAST(month_key % 100 AS INT) AS month_i, round(count(*) FILTER (WHERE cls IN (1, 2, 3, 4)) * 0.0009E0, 9) AS total_area_km2,
   count(*) FILTER (WHERE cls <> 255) AS valid_pixels FROM monthly WHERE (SELECT count(*) FROM v_obs) >= 0 GROUP BY month_key""")
 def monthly_metrics(s, d):
-    rows = metrics.monthly_metrics(_monthly(s, d).select("month_key", "row_i", "col_i", "cls"), _stats(s, d), 0.0009)
+    m, stats = _both(s, d)
+    rows = metrics.monthly_metrics(m.select("month_key", "row_i", "col_i", "cls"), stats, 0.0009)
     return rows.select("month_key", "year_i", "month_i", F.round("total_area_km2", 9).alias("total_area_km2"), "valid_pixels")
 
 
 @query(SQL["water_statistics"])
 def streamed_statistics(s, d):
     """The statistics of a stream of observations, as the counters keep them."""
-    from .storage import stored
     from .streaming import counters
 
     keys = ["cell_id", "row_i", "col_i"]
