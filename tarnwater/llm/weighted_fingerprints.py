@@ -83,8 +83,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     half = F.floor(n / 2).cast("int")
     edited = F.when(F.col("tail") == 0, F.concat(F.substring("text", F.lit(1), n - half), F.substring("after", F.lit(1), half)))
     ready = lined.select("place", "row", "tail", "id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    both = ready.select("place", "row", "tail", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("t"))
-    drawn = sketch(both.select("place", "row", F.col("t.kind").alias("kind"), F.col("t.text").alias("text")).where("text is not null"), ["place", "row", "kind"], samples)
+    # texts and edited texts apart, though they share an exchange: a task's table of words is half as large
+    kinds = [ready.select("place", "row", F.lit(k).alias("kind"), F.col(c).alias("text")).where("text is not null") for k, c in enumerate(("text", "edited"))]
+    drawn = sketch(kinds[0], ["place", "row", "kind"], samples).unionByName(sketch(kinds[1], ["place", "row", "kind"], samples))
     # rows without words have no sketch: each row's facts join in as one more line of the aggregate
     facts = ready.select("place", "row", F.lit(-1).alias("kind"), "id", "tail", "n_chars", F.sha2("edited", 256).alias("sha"))
     names = [f"s{k}" for k in range(samples)]
