@@ -91,7 +91,7 @@ def _mixed(key: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(30))).astype(np.int64)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 64, block_words: int = 4096, seed: int = 20240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 64, block_words: int = 4096, seed: int = 20240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = 4_000) -> DataFrame:
     """(id, size, source_size, target, taken, spans) for each row of `docs`.
 
     size: words of the text (null: 0). Sources in code-point order, null last, have `weights` in turn. taken: words that the mix
