@@ -14,6 +14,8 @@ round only. Links left out join fingerprints which are connected already.
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -26,31 +28,37 @@ from .common import blocks, dropped, stored
 from .components import components
 
 SEED = 42
-
-
-def shingle_hashes(text: str, size: int = 4) -> list[int]:
-    """XXH64 of each shingle of `size` words (A-Z lower-cased, joined by a space); of all words if they are fewer."""
-    words = text.encode().lower().split()
-    if not words:
-        return []
-    joined = b" ".join(words)
-    if len(words) < size:
-        return [xxhash.xxh64_intdigest(joined, SEED)]
-    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    digest = xxhash.xxh64_intdigest
-    return [digest(joined[s:e], SEED) for s, e in zip(starts, ends[size - 1 :])]
-
-
-def fold(hashes: list[int]) -> int:
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def shingle_hashes(text: str, size: int = 4, block: int = 1 << 20) -> Iterator[list[int]]:
+    """XXH64 of each shingle of `size` words (A-Z lower-cased, joined by a space), or of all words if they are fewer, block by block."""
+    data, digest, at, rest, any_yet = text.encode().lower(), xxhash.xxh64_intdigest, 0, [], False
+    while at < len(data):
+        end = len(data) if at + block >= len(data) else (m.start() if (m := _SPACE.search(data, at + block)) else len(data))
+        words = rest + data[at:end].split()
+        at = end
+        if len(words) < size:
+            rest = words
+            continue
+        joined = b" ".join(words)
+        ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
+        starts = [0, *(e + 1 for e in ends[:-1])]
+        yield [digest(joined[s:e], SEED) for s, e in zip(starts, ends[size - 1 :])]
+        rest, any_yet = words[len(words) - size + 1 :], True
+    if rest and not any_yet:
+        yield [digest(b" ".join(rest), SEED)]
+
+
+def fold(blocks_of_hashes: Iterable[list[int]]) -> int:
     """Each bit that over half the hashes have; 0 without hashes. As a signed 64-bit integer."""
-    if not hashes:
-        return 0
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[k : k + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in blocks_of_hashes:
+        n += len(hashes)
+        for k in range(0, len(hashes), 1 << 16):
+            part = np.array(hashes[k : k + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0]) if n else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
