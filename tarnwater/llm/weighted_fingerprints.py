@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SAMPLES, RANGES, PER_RANGE = 16, 512, 100_000
+SAMPLES, RANGES, PER_RANGE = 24, 512, 100_000
 
 
 def _uniform(bits: Column, low: int) -> Column:
