@@ -573,7 +573,7 @@ def _edges(s, d):
 
 @query(f"WITH {STATS}, {QUALITY}, {VOTE}, {EDGES} SELECT month_key, cell_id FROM edge WHERE (SELECT count(*) FROM v_obs) >= 0")
 def water_edge(s, d):
-    return _edges(s, d).select("month_key", (F.col("row_i") * 10 + F.col("col_i")).cast("long").alias("cell_id"))
+    return _edges(s, d).select("month_key", (F.col("row_i") * 10 + F.col("col_i")).alias("cell_id"))
 
 
 @query(f"""WITH {STATS}, {QUALITY}, {VOTE}, {EDGES}, level AS (SELECT elev AS level FROM v_dem WHERE elev >= 0 GROUP BY elev ORDER BY count(*) DESC, elev LIMIT 1),
