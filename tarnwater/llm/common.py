@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import os
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -50,11 +49,6 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, budget: int = 4 << 20
             yield batch.slice(a, b - a)
 
 
-def crc_of_id(values: list) -> list[int | None]:
-    """crc32 of each id written as text; None for a missing id."""
-    return [None if v is None else zlib.crc32(str(v).encode()) for v in values]
-
-
 def read_local(path: str) -> str:
     """A tokenizer file as text; the path is the caller's parameter and the driver reads it once."""
     with open(os.path.expanduser(path), encoding="utf-8") as f:
