@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwater.llm import bpe_codec, language_id, mixing, quality, simhash
+from tarnwater.llm import bpe_codec, language_id, mixing, near_copies, quality
 from tarnwater.llm.common import stored, table
 from tarnwater.llm.queries import vocabulary_path
 
@@ -25,8 +25,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each group of near copies the document with the smallest id stays."""
-    return simhash.one_of_each(docs)
+    """Operator 6 in its exact form: of each group of near copies (Jaccard >= 0.8 of five-word shingles) the document with the smallest id stays."""
+    return near_copies.one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
