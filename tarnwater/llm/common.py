@@ -21,6 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for own columns beside those of `docs`, whatever these are called."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand texts to Python in smaller batches than by default, for operators that hold tables beside them; a set value stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

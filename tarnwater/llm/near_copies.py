@@ -1,18 +1,23 @@
-"""Groups of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, exactly.
+"""One document of each group of near copies: SimHash of five-word shingles, multi-index hashing, an exact check of what it finds.
 
-Texts of equal sets are one set. Two sets A and B that are similar enough share one of the first |A| - ceil(0.8 |A|) + 1 shingles of
-A and as many of B in any order that is the same for all sets (prefix filter). The order here puts shingles last that many texts
-hold, so few sets meet by chance; which shingles are known to be frequent changes the work, never the pairs found. Sets that meet
-are compared by size and by 512 parity bits, which bound the similarity from above; what is left is intersected shingle by shingle.
+A text's set of shingles has a fingerprint wide enough for a Jaccard similarity of 0.8: at that similarity two fingerprints differ
+in about 15 % of their bits, and sets of unrelated texts in half of them. The bits are cut into segments, and a table of segment
+values is asked for each segment's small Hamming ball. Of a ball only the part that near copies land in is enumerated: a segment's
+two weakest bits, those whose counts of ones and zeros are closest, are flipped or not. Matches have their complete distance
+verified, and what is left its exact similarity, from the texts.
 
-Large groups of near copies would still be compared pair by pair. So a first, linear round compares each set only with one
-that shares a shingle of its prefix, the first in one of 32 seeded orders by the shingle; the full search then compares sets of different groups of that round only.
-Links left out join sets which are connected already.
+A pair at a similarity of exactly 0.8 is missed with a probability of about `MISS`, by the normal model of the counts, and much more
+rarely above; a pair below 0.8 is never linked. Sets that may be similar enough are within a factor of 0.8 in size, so keys tell size
+classes too, which thins out chance matches by an order of magnitude.
+
+Large groups would still be compared pair by pair. So a first, linear round compares each set with one other of its bucket in each
+segment only; the full search then compares sets of different groups of that round, and a bucket's largest group isn't compared with
+itself. Links left out join sets which are connected already.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -20,162 +25,213 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, dropped, stored
+from .common import blocks, dropped, fresh, stored
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import apart, shingle_hashes
 
 SIZE = 5
 #: The similarity from which sets are linked, as a fraction.
 OVER, UNDER = 4, 5
+#: Chance of missing a pair at just that similarity.
+MISS = 0.005
+#: Share of segments of a width that agree but for the two weakest bits, at a similarity of 0.8 (simulated, normal model).
+AGREE = {16: 0.197, 20: 0.106, 24: 0.057, 28: 0.031}
+#: Share of bits that may differ, of a whole fingerprint and of its first 64 bits: over four deviations beyond what 0.8 leads to.
+FAR, FAR_FIRST = 0.25, 21
 #: Orders by which the sets of the first round are chosen.
 ORDERS = 32
-#: Longs of parity bits.
-LONGS = 8
-BITS = [f"b{i}" for i in range(LONGS)]
+
+
+def layout(n: int) -> tuple[int, int]:
+    """(width, segments) for n sets: wider segments as n grows, so that chance matches per set stay bounded."""
+    width = next((w for w in AGREE if n <= 1 << (w + 8)), max(AGREE))
+    return width, math.ceil(math.log(MISS) / math.log1p(-AGREE[width]))
 
 
 def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
     """The distinct shingle hashes of a text, ascending; none for null, empty and blank ones."""
-    parts = [np.array(part, np.uint64).view(np.int64) for part in shingle_hashes(text or "", size)]
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+    parts = [np.array(part, np.uint64) for part in shingle_hashes(text or "", size)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def _words(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th 64 bits derived from each hash (the finaliser of splitmix64)."""
+    x = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def signature(hashes: np.ndarray, width: int, segments: int, block: int = 1 << 14) -> np.ndarray:
+    """A long for each segment: its bits, and from bits 32 and 40 on the places of its weakest and second weakest bit."""
+    bits = width * segments
+    longs = -(-bits // 64)
+    ones = np.zeros(64 * longs, np.int64)
+    for at in range(0, len(hashes), block):
+        part = hashes[at : at + block]
+        data = np.stack([_words(part, k) for k in range(longs)], axis=1)
+        ones += np.unpackbits(data.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    lead = (2 * ones[:bits] - len(hashes)).reshape(segments, width)
+    value = (lead > 0) @ (1 << np.arange(width, dtype=np.int64))
+    weak = np.argsort(np.abs(lead), axis=1, kind="stable")[:, :2].astype(np.int64)
+    return value | weak[:, 0] << 32 | weak[:, 1] << 40
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, segments: int) -> DataFrame:
+    """(id, k1, k2, s1, s2, n, code) for each row: keys of the row and of its set, the set's size and signature."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
+    def run(batches):
+        for batch in blocks(batches, "text"):
+            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
+            codes = np.concatenate([signature(s, width, segments) for s in sets])
+            ends = pa.array(np.arange(0, len(codes) + 1, segments, dtype=np.int32))
+            columns = [batch.column(c) for c in ("id", "k1", "k2")]
+            columns += [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(codes))], ["id", "k1", "k2", "s1", "s2", "n", "code"])
 
-def frequent(docs: DataFrame, text_col: str = "text", most: int = 1 << 18, held: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, ascending, that several of some eight thousand neighbouring texts hold, and their counts: the `most` commonest."""
+    rows = docs.select(docs[id_col].alias("id"), *row_key(docs, id_col, text_col), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, s1 long, s2 long, n long, code array<long>")
 
-    def counted(parts):
-        values, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(values[n > 1]), pa.array(n[n > 1])], ["h", "n"])
 
-    def run(batches):
-        parts, size = [], 0
-        for batch in blocks(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                parts.append(shingle_set(text))
-                size += len(parts[-1])
-                if size >= held:
-                    yield counted(parts)
-                    parts, size = [], 0
-        if parts:
-            yield counted(parts)
-
-    found = docs.select(docs[text_col].alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    got = found.orderBy(F.desc("n"), "h").limit(most).toArrow()
-    values, counts = (got.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
-    rank = np.argsort(values)
-    return values[rank], counts[rank]
-
-
-def prefix(shingles: np.ndarray, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of a set by which others are found: its first ones, those not in `values` before those of a small count."""
-    n = len(shingles)
-    if not n:
-        return shingles
-    known = np.zeros(n, np.int64)
-    if len(values):
-        at = np.minimum(np.searchsorted(values, shingles), len(values) - 1)
-        known = np.where(values[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, known))[: n - -(-OVER * n // UNDER) + 1]]
-
-
-def sketches(docs: DataFrame, id_col: str, key_col: str, text_col: str) -> DataFrame:
-    """(id, key, sid, n, parity bits, prefix) for each row; sid tells sets apart."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col))
+def row_key(docs: DataFrame, *columns: str) -> tuple[Column, Column]:
+    """128 bits that tell rows apart by these columns."""
+    held = [docs[c] for c in columns]
+    return F.xxhash64(*held).alias("k1"), F.xxhash64(F.lit(1), *reversed(held)).alias("k2")
 
-    def run(batches):
-        values, counts = held.value
-        for batch in blocks(batches, "text"):
-            sids, sizes, bits, firsts = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text)
-                sids.append(xxhash.xxh64_intdigest(s.tobytes()))
-                sizes.append(len(s))
-                odd = np.bincount(s & (64 * LONGS - 1), minlength=64 * LONGS) & 1
-                bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
-                firsts.append(prefix(s, values, counts))
-            ends = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
-            columns = [batch.column("id"), batch.column("key"), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), *(pa.array(c) for c in np.ascontiguousarray(np.array(bits).T)), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "sid", "n", *BITS, "prefix"])
-
-    columns = "".join(f"{b} long, " for b in BITS)
-    return docs.select(docs[id_col].alias("id"), docs[key_col].alias("key"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, key long, sid long, n long, {columns}prefix array<long>")
-
-
-def _may_be_near(a: str, b: str) -> Column:
-    """Whether sizes and parity bits allow the similarity: bits that differ are at most the shingles that one set alone holds."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differing = reduce(Column.__add__, (F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITS))
-    return (UNDER * F.least(n, m) >= OVER * F.greatest(n, m)) & ((OVER + UNDER) * differing <= (UNDER - OVER) * (n + m))
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, key_col: str, text_col: str, cells: int = 1 << 23) -> DataFrame:
-    """The rows of `pairs` (a, b: set ids) that are near; the shingles are taken from the texts again, of sets in pairs only.
-
-    Texts whose key falls in none of the `cells` of the keys looked for are left out before the join, so that they don't move.
-    """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    keys = rows.join(needed, "sid").groupBy("sid").agg(F.min("key").alias("key"))
-    keys = stored(keys, "keys")
+
+def _marks(keys: DataFrame, cells: int) -> np.ndarray:
+    """A bit for each of the `cells` that a key falls in: of constant size, whatever is read."""
     marks = np.zeros(cells, bool)
-    marks[keys.select(F.pmod("key", F.lit(cells)).cast("int").alias("cell")).distinct().toArrow().column("cell").to_numpy()] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    marks[keys.select(F.pmod("k1", F.lit(cells)).cast("int").alias("cell")).distinct().toArrow().column("cell").to_numpy()] = True
+    return np.packbits(marks)
+
+
+def _marked(rows: DataFrame, held, cells: int, column: str, wanted: bool = True) -> DataFrame:
+    """The rows whose key falls in a marked cell, or in none. No shuffle."""
 
     def run(batches):
         marks = np.unpackbits(held.value).astype(bool)
-        for whole in batches:
-            wanted = whole.filter(pa.array(marks[whole.column("key").to_numpy() % cells]))
-            for batch in blocks([wanted], "text"):
-                found = [shingle_set(t) for t in batch.column("text").to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["key", "s"])
-
-    texts = docs.select(docs[key_col].alias("key"), docs[text_col].alias("text"))
-    sets = stored(texts.mapInArrow(run, "key long, s array<long>").join(keys, "key").dropDuplicates(["sid"]).select("sid", "s"), "sets")
-    left, right = (sets.select(F.col("sid").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    near = stored(pairs.join(left, "a").join(right, "b").where((OVER + UNDER) * both >= OVER * (F.size("sa") + F.size("sb"))).select(*pairs.columns), "near")
-    for done in (keys, sets):
-        dropped(docs.sparkSession, done)
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(marks[batch.column(column).to_numpy() % cells] == wanted))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, cells: int) -> DataFrame:
+    """The rows of `pairs` (a, b: sets) whose similarity is 0.8 or more; only texts of sets in pairs move."""
+    spark = texts.sparkSession
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    keys = stored(needed.join(sets.select("node", "k1", "k2"), "node"), "keys")
+    held = spark.sparkContext.broadcast(_marks(keys, cells))
+    found = _marked(texts, held, cells, "k1").join(keys, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
+    found = stored(found, "texts")
+    both = pairs.join(found.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(found.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
+
+    names, kind = pairs.columns, pairs.schema
+
+    def check(batches):
+        for batch in blocks(batches, "ta"):
+            keep, last, of_last = [], None, None
+            for one, other in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
+                if last != other or of_last is None:
+                    last, of_last = other, shingle_set(other)
+                s = shingle_set(one)
+                common = len(np.intersect1d(s, of_last, assume_unique=True))
+                keep.append((OVER + UNDER) * common >= OVER * (len(s) + len(of_last)))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(names)
+
+    near = stored(both.select(*names, "ta", "tb").mapInArrow(check, kind), "near")
+    for done in (keys, found):
+        dropped(spark, done)
     return near
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, root) for each row of `docs`: rows of one root are connected by similarities of 0.8 or more. key: a long, one for each text at least."""
+def _distance(a: str, b: str, width: int) -> Column:
+    differing = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit((1 << width) - 1))))
+    return F.aggregate(differing, F.lit(0), lambda total, d: total + d)
+
+
+def _near(pairs: DataFrame, sets: DataFrame, width: int, segments: int) -> DataFrame:
+    """The rows of `pairs` whose sizes and complete distances allow the similarity, with the distance `far`."""
+    facts = sets.select("node", "n", "code")
+    both = pairs.join(facts.withColumnsRenamed({"node": "a", "n": "na", "code": "ca"}), "a").join(facts.withColumnsRenamed({"node": "b", "n": "nb", "code": "cb"}), "b")
+    sized = both.where(UNDER * F.least("na", "nb") >= OVER * F.greatest("na", "nb")).withColumn("far", _distance("ca", "cb", width))
+    return sized.where(F.col("far") <= int(FAR * width * segments)).select(*pairs.columns, "far")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = 1 << 23) -> DataFrame:
+    """(id, k1, k2, root) for each row of `docs`: rows of one root are connected by similarities of 0.8 or more."""
     spark = docs.sparkSession
-    rows = stored(sketches(docs, id_col, key_col, text_col), "sketches")
-    listed = rows.select("sid", F.explode("prefix").alias("h")).repartition("h")  # moved once, for both of its uses
-    shared = listed.groupBy("h").agg(F.min_by("sid", F.xxhash64("sid", F.pmod("h", F.lit(ORDERS)))).alias("pivot"), F.min("sid").alias("least"), F.max("sid").alias("most")).where("least < most").select("h", "pivot")
-    entries = stored(listed.join(shared, "h").distinct(), "entries")
-    facts = stored(rows.select("sid", "n", *BITS).distinct().join(entries.select("sid").distinct(), "sid"), "facts")
-
-    met = entries.where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
-    ends = met.join(facts.alias("x"), F.col("a") == F.col("x.sid")).join(facts.alias("y"), F.col("b") == F.col("y.sid"))
-    pairs = stored(ends.where(_may_be_near("x", "y")).select("a", "b"), "pairs")
-    star = _verified(pairs, rows, docs, key_col, text_col)
-    first = stored(components(star), "groups")
-
-    known = stored(facts.join(first, F.col("sid") == F.col("node"), "left").select("sid", "n", *BITS, F.coalesce("component", "sid").alias("root")), "roots")
-    placed = entries.select("h", "sid").join(known, "sid")
-    open_ = placed.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("h")
-    asked = stored(placed.join(open_, "h"), "asked")
-    x, y = asked.alias("x"), asked.alias("y")
-    more = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & _may_be_near("x", "y"))
-    again = stored(more.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")).distinct(), "pairs")
-    # pairs that the first round has compared already aren't near, or of one root by now
-    links = _verified(again.join(pairs, ["a", "b"], "left_anti"), rows, docs, key_col, text_col)
-    second = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    named = stored(known.join(second, F.col("root") == F.col("node"), "left").select("sid", F.coalesce("component", "root").alias("root")), "groups")
-    out = stored(rows.join(named, "sid", "left").select("id", "key", F.coalesce("root", "sid").alias("root")), "named")
-    for done in (rows, entries, facts, pairs, star, first, known, asked, again, links, named):
+    width, segments = layout(docs.count())
+    rows = stored(sketches(docs, id_col, text_col, width, segments), "sketches")
+    first_bits = F.col("code")[0].bitwiseAND((1 << width) - 1)
+    for k in range(1, 64 // width):
+        first_bits = first_bits.bitwiseOR(F.shiftleft(F.col("code")[k].bitwiseAND((1 << width) - 1), k * width))
+    single = rows.dropDuplicates(["s1", "s2"]).withColumn("node", F.monotonically_increasing_id()).withColumn("first", first_bits)
+    sets = stored(single, "sets")
+    texts = docs.select(*row_key(docs, id_col, text_col), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    near_first = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= FAR_FIRST
+
+    # the first round: with one set of each bucket, of those that look near the nearest
+    value = lambda c: F.col(c).bitwiseAND((1 << width) - 1)
+    listed = sets.select("node", "first", F.posexplode("code").alias("i", "c"))
+    listed = listed.select("node", "first", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(value("c")).alias("key")).repartition("key")
+    order = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)))
+    pivots = listed.groupBy("key").agg(F.min_by(F.struct("node", "first"), order).alias("p"), F.count("*").alias("n")).where("n > 1")
+    pivots = pivots.select("key", F.col("p.node").alias("b"), F.col("p.first").alias("fb"))
+    met = listed.join(pivots, "key").where((F.col("node") != F.col("b")) & near_first("first", "fb")).select(F.col("node").alias("a"), "b").distinct()
+    best = _near(met, sets, width, segments).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+    star = _verified(stored(best, "pairs"), sets, texts, cells)
+    one = stored(components(star), "groups")
+
+    known = sets.join(one, "node", "left").select("node", "n", "first", "code", F.coalesce("component", "node").alias("root"))
+    known = stored(known.withColumn("class", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(UNDER / OVER)).cast("long")), "roots")
+    spots = known.select("node", "root", "first", "class", F.posexplode("code").alias("i", "c"))
+    spots = spots.withColumn("i", F.col("i").cast("long"))
+    key = lambda cls, v: F.shiftleft(cls, 40).bitwiseOR(F.shiftleft(F.col("i"), 32)).bitwiseOR(v)
+    flips = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("c", at).bitwiseAND(255).cast("int")) for at in (32, 40)]
+    ball = F.array(value("c"), value("c").bitwiseXOR(flips[0]), value("c").bitwiseXOR(flips[1]), value("c").bitwiseXOR(flips[0]).bitwiseXOR(flips[1]))
+    # a set asks for sets of its own size class and the next
+    asks = spots.select("node", "root", "first", F.explode(F.transform(ball, lambda v: key(F.col("class"), v))).alias("key"))
+    haves = spots.select("node", "root", "first", F.explode(F.array(key(F.col("class"), value("c")), key(F.col("class") - 1, value("c")))).alias("key"))
+    asks, haves = apart(asks, haves, spots.select("root", F.explode(F.array(key(F.col("class"), value("c")))).alias("key")))
+    x, y = asks.alias("x"), haves.alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root"))
+    ends = {"a": F.least("x.node", "y.node"), "b": F.greatest("x.node", "y.node")}
+    ends |= {"ra": F.when(F.col("x.node") < F.col("y.node"), F.col("x.root")).otherwise(F.col("y.root")), "rb": F.when(F.col("x.node") < F.col("y.node"), F.col("y.root")).otherwise(F.col("x.root"))}
+    more = x.join(y, meet & near_first("x.first", "y.first")).select(*(c.alias(k) for k, c in ends.items())).distinct()
+    links = _verified(stored(_near(more, sets, width, segments).drop("far"), "pairs"), sets, texts, cells)
+    two = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    named = known.join(two.withColumnsRenamed({"node": "root", "component": "whole"}), "root", "left").select("node", F.coalesce("whole", "root").alias("root"))
+    of_sets = stored(sets.select("s1", "s2", "node").join(named, "node").select("s1", "s2", "root"), "named")
+    out = stored(rows.select("id", "k1", "k2", "s1", "s2").join(of_sets, ["s1", "s2"]).select("id", "k1", "k2", "root"), "members")
+    for done in (rows, sets, star, one, known, links, of_sets):
         dropped(spark, done)
     return out
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near copies, all columns: that of the smallest id (null last). Works on null and repeated ids too."""
-    keyed = docs.withColumn("_key", F.xxhash64(id_col, text_col))
-    found = groups(keyed, id_col, "_key", text_col)
-    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("s")).select(F.col("s.key").alias("_key"))
-    return keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = 1 << 23) -> DataFrame:
+    """One row of each group of near copies, all columns: that of the smallest id (null last).
+
+    Null, empty and blank texts are copies of each other. Repeated and null ids are allowed: rows are told apart by 128 bits of id and
+    text, and of rows that agree in both, near copies by definition, one stays. A text of any length is taken whole, its distinct
+    shingles in memory. Texts without a near copy don't move; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    found = groups(docs, id_col, text_col, cells)
+    several = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("s"), F.count("*").alias("n")).where("n > 1")
+    several = stored(several.select("root", F.col("s.k1").alias("c1"), F.col("s.k2").alias("c2")), "several")
+    touched = found.join(several, "root").select("k1")
+    held = spark.sparkContext.broadcast(_marks(touched, cells))
+    one, two = fresh(docs, "k1", "k2")
+    k1, k2 = row_key(docs, id_col, text_col)
+    keyed = docs.withColumns({one: k1, two: k2})
+    inside = _marked(keyed, held, cells, one)
+    # in a marked cell: leaders of groups, and rows that only share a cell with some group
+    members = found.join(several, "root")
+    gone = members.where("k1 <> c1 or k2 <> c2").select(F.col("k1").alias(one), F.col("k2").alias(two)).distinct()
+    stay = inside.join(gone, [one, two], "left_anti").dropDuplicates([one, two])
+    return _marked(keyed, held, cells, one, False).unionByName(stay).select(*docs.columns)

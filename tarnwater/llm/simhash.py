@@ -103,6 +103,26 @@ def _keys(fps: DataFrame, segments: list[tuple[int, int, int]], balls: bool) ->
     return out.select("*", F.xxhash64("s.k", value).alias("key") if any(w > 40 for _, w, _ in segments) else (F.col("s.k").cast("long") * F.lit(1 << 40) + value).alias("key")).drop("s")
 
 
+def apart(asks: DataFrame, haves: DataFrame, listed: DataFrame, many: int = 256, small: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """asks and haves with a column `part` for a join on (key, part), in which a key's largest root doesn't meet itself.
+
+    `listed` tells how many rows of which root a key has. In keys of `many` rows and more, rows of the largest root that are had stand in
+    part 1 and all others in part 0; rows of the largest root ask part 0, others both. Every pair of different roots still meets,
+    once, and a group of N rows that shares a key with k others costs N * k tests rather than N * N.
+    """
+    sizes = listed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    full = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).where(F.col("n") >= many)
+    full = stored(full.select("key", "top"), "full")
+    n = full.count()
+    if not n:
+        return asks.withColumn("part", F.lit(0)), haves.withColumn("part", F.lit(0))
+    held = F.broadcast(full) if n <= small else full  # two longs a row
+    major = F.col("root") == F.col("top")
+    asks = asks.join(held, "key", "left").withColumn("part", F.explode(F.when(F.col("top").isNull() | major, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    haves = haves.join(held, "key", "left").withColumn("part", F.coalesce(major.cast("int"), F.lit(0)))
+    return asks.drop("top"), haves.drop("top")
+
+
 def link(fps: DataFrame, distance: int = 4) -> DataFrame:
     """(node, component) for each of the distinct fingerprints (fp long) that has a link; component is its group's least one."""
     spark = fps.sparkSession
@@ -113,9 +133,10 @@ def link(fps: DataFrame, distance: int = 4) -> DataFrame:
     star = listed.join(pivots, (listed["key"] == pivots["key"]) & (listed["fp"] != pivots["pivot"]) & near("fp", "pivot")).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
     first = stored(components(star), "groups")
     known = stored(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("component", "fp").alias("root")), "roots")
-    ask = _keys(known, segments, True).select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    have = _keys(known, segments, False).select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    more = ask.join(have, (ask["key"] == have["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near("a", "b")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    asks, haves = apart(_keys(known, segments, True), _keys(known, segments, False), _keys(known, segments, False))
+    asks, haves = asks.select("key", "part", F.col("fp").alias("a"), F.col("root").alias("ra")), haves.select("key", "part", F.col("fp").alias("b"), F.col("root").alias("rb"))
+    meet = (asks["key"] == haves["key"]) & (asks["part"] == haves["part"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near("a", "b")
+    more = asks.join(haves, meet).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     second = components(more.distinct())
     out = known.join(second, known["root"] == second["node"], "left").select(F.col("fp").alias("node"), F.coalesce("component", "root").alias("component"))
     out = stored(out, "groups")
@@ -129,7 +150,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Fingerprints at most `distance` bits apart are linked; component_id is the smallest id that links reach, the row's own
     included. Null, empty and blank texts share fingerprint 0 and are linked like any other. A null id stays null and takes
-    its group's smallest id, if there is one. Repeated rows give repeated rows. Other columns are not read.
+    its group's smallest id, if there is one. A bit that half the hashes have is 0. Repeated rows give repeated rows, an empty table
+    none. A long text is hashed block by block. Other columns are not read.
     """
     fps = stored(fingerprints(docs, id_col, text_col, size), "fps")
     single = stored(fps.groupBy("fp").agg(F.min("id").alias("first")), "single")
@@ -137,13 +159,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = groups.groupBy("root").agg(F.min("first").alias("component_id"))
     named = groups.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4) -> DataFrame:
-    """One row of each near-duplicate group, all columns: that of the smallest id (null last). Works on null and repeated ids too."""
-    keyed = docs.withColumn("_key", F.xxhash64(id_col, text_col))
-    groups = near_duplicates(keyed, "_key", text_col, size, distance).select(F.col("_key").alias("k"), "component_id").distinct()
-    ids = keyed.select("_key", id_col).distinct()
-    first = groups.join(ids, F.col("k") == F.col("_key")).groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_key")).alias("s"))
-    chosen = first.select(F.col("s._key").alias("_key"))
-    return keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

@@ -183,10 +183,17 @@ def test_plans_cover_every_pair():
             assert any(bin(diff >> o & ((1 << w) - 1)).count("1") <= r for o, w, r in segments)
 
 
-def test_one_of_each_group(spark, odd):
-    out = simhash.one_of_each(odd)
-    groups = {r["fingerprint"] for r in simhash.near_duplicates(odd.where("doc_id is not null")).collect()}
-    assert out.columns == odd.columns and out.where("doc_id is not null").count() == len(groups)
+@pytest.mark.parametrize("many", [2, 256])
+def test_large_families_are_linked_with_all_others(spark, many, monkeypatch):
+    """Two families that share segment values, of which one is a key's largest root."""
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 1 << 62))
+    fps = {base ^ (1 << int(a)) ^ (1 << int(b)) for a in range(0, 40, 2) for b in range(1, 40, 2)} | {base ^ (0b1111111 << 50) ^ (1 << k) for k in range(30)}
+    fps = sorted(fps)
+    real = simhash.apart
+    monkeypatch.setattr(simhash, "apart", lambda a, h, n: real(a, h, n, many))
+    got = {r["node"]: r["component"] for r in simhash.link(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    assert [got[f] for f in fps] == components_of(fps, fps, 4)
 
 
 # --- fingerprints

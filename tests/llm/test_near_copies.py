@@ -4,7 +4,9 @@ import random
 from fractions import Fraction
 
 import corpus_pipeline
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwater.llm import near_copies
 from tarnwater.llm.common import table
@@ -72,9 +74,51 @@ def test_stage_equals_all_pairs_on_a_table(spark, sf):
     assert got == survivors([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
 
 
-def test_pairs_do_not_depend_on_what_is_known_to_be_frequent(spark, monkeypatch):
-    rows = copies(3)
+def test_signatures_tell_near_sets_from_others():
+    """Bits that differ: about 15 % at a similarity of 0.8, half between unrelated sets; each segment names its two weakest bits."""
+    rng = np.random.default_rng(5)
+    width, segments = near_copies.layout(1000)
+    a = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+    b = np.concatenate([a[100:], rng.integers(0, 1 << 63, 100).astype(np.uint64)])  # 800 of 1000 in common
+    codes = [near_copies.signature(x, width, segments) for x in (a, b, rng.integers(0, 1 << 63, 900).astype(np.uint64))]
+    bits = [((c[:, None] >> np.arange(width)) & 1).ravel() for c in codes]
+    assert 0.08 < (bits[0] != bits[1]).mean() < 0.23 and 0.4 < (bits[0] != bits[2]).mean() < 0.6
+    ones = np.zeros(width * segments, int)
+    for h in a.tolist():
+        words = [int(near_copies._words(np.array([h], np.uint64), k)[0]) for k in range(-(-width * segments // 64))]
+        ones += [words[i // 64] >> i % 64 & 1 for i in range(width * segments)]
+    assert (bits[0] == (2 * ones > len(a))).all()
+    lead = np.abs(2 * ones - len(a)).reshape(segments, width)
+    places = np.stack([codes[0] >> 32 & 255, codes[0] >> 40 & 255], axis=1)
+    assert (np.take_along_axis(lead, places, 1) == np.sort(lead, axis=1)[:, :2]).all()
+
+
+@pytest.mark.parametrize("width", sorted(near_copies.AGREE))
+def test_share_of_pairs_that_meet(width):
+    """The stated share of segments that agree but for the weakest bits, by simulation; the plan's chance of a miss follows from it."""
+    rng, n = np.random.default_rng(width), 60_000
+    cosine = 2 * 0.8 / 1.8
+    x = rng.standard_normal((n, width))
+    y = cosine * x + np.sqrt(1 - cosine**2) * rng.standard_normal((n, width))
+    apart = (x > 0) != (y > 0)
+    strong = np.argsort(np.abs(x), axis=1)[:, 2:]
+    share = (~np.take_along_axis(apart, strong, 1).any(axis=1)).mean()
+    assert share == pytest.approx(near_copies.AGREE[width], rel=0.12)
+    segments = next(near_copies.layout(1 << k)[1] for k in range(8, 40) if near_copies.layout(1 << k)[0] == width)
+    assert (1 - share) ** segments < 2 * near_copies.MISS
+
+
+def test_stage_keeps_columns_of_any_name(spark, odd):
+    extra = odd
+    for name in ("k1", "k2", "_k1", "root", "node", "key", "n", "_key", "component_id", "text_"):
+        extra = extra.withColumn(name, F.lit("mine"))
+    out = near_copies.one_of_each(extra).collect()
+    assert near_copies.one_of_each(odd).count() == len(out) and all(r[c] == "mine" for r in out for c in ("k1", "_k1", "root", "_key"))
+    assert near_copies.one_of_each(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cells", [1, 64])
+def test_marks_only_spare_work(spark, cells):
+    rows = copies(4)
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCUMENTS)
-    real = near_copies.frequent
-    monkeypatch.setattr(near_copies, "frequent", lambda d, c: real(d, c, most=3))
-    assert sorted(r["doc_id"] for r in near_copies.one_of_each(docs).collect()) == survivors(rows)
+    assert sorted(r["doc_id"] for r in near_copies.one_of_each(docs, cells=cells).collect()) == survivors(rows)
