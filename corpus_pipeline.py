@@ -7,7 +7,6 @@ digests. run() writes each stage's rows as Parquet into the shared folder and re
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tarnwater.llm import bpe_codec, language_id, mixing, near_copies, quality
 from tarnwater.llm.common import stored, table
@@ -25,14 +24,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6 in its exact form: of each group of near copies (Jaccard >= 0.8 of five-word shingles) the document with the smallest id stays."""
+    """Operator 6 with fingerprints for a Jaccard similarity of 0.8 of five-word shingles: of each group the smallest id stays."""
     return near_copies.one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: a row for each run of words that the mix takes of a document in one pass."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    return mixing.mixed_documents(keyed, id_col="_key").select(*docs.columns)
+    """Operator 1: a row for each run of words that a block of the mix takes of a document, dealt to shards and shuffled inside them."""
+    return mixing.mixed_documents(docs).select(*docs.columns)
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +45,7 @@ STAGES = [
     ("mixing", mixed_sources),
     ("bpe", token_digests),
 ]
-#: The stages' methods have no SQL form; tests hold each against a brute-force version.
+#: The stages' methods have no SQL form; tests/llm/test_pipeline.py holds the rows of each, and of run(), against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -4,10 +4,10 @@ Each letter has a random vector of +1 and -1. A trigram is its letters' vectors,
 profile is the sum (bundle) of its trigrams' vectors. A language's prototype is the profile of all its training texts, a
 document's language the one whose prototype has the largest cosine with the document's profile.
 
-Letters are folded to lower case; a to z have vectors of their own, other letters share 13 by code point, everything else is
-one gap between words. Trigrams are counted first and bound once per distinct one. Training emits one integer vector per
+Letters are folded to lower case. Each letter of Unicode has a vector of its own, drawn from its code point; everything else is one gap
+between words, with a vector too. Trigrams are counted first and bound once per distinct one. Training emits one integer vector per
 language and task, so its shuffle doesn't grow with the texts; sums of integers don't depend on their order. The driver holds
-languages x dimensions numbers.
+languages x dimensions numbers; a table with more than `LANGUAGES` distinct labels is refused.
 """
 
 from __future__ import annotations
@@ -19,58 +19,71 @@ from pyspark.sql import functions as F
 
 from .common import blocks, kept
 
-DIMENSIONS, LETTERS, SEED, UNKNOWN = 512, 40, 11, "und"
-#: Bound vectors that a Python worker keeps ready, 2 KB each.
-READY = 16_384
-_TABLES: dict[str, np.ndarray] = {}
+DIMENSIONS, SEED, UNKNOWN, LANGUAGES = 1024, 11, "und", 10_000
+#: Bound vectors and letters that a Python worker keeps ready, a byte per dimension each; others are made when they are met.
+READY, LETTERS = 16_384, 8_192
+#: Trigrams that training gathers of a language before it bundles them.
+PENDING = 1 << 20
+PART = (1 << 21) - 1
+_KEPT: dict = {}
 
 
-def _tables() -> dict[str, np.ndarray]:
-    if not _TABLES:
-        kind = np.zeros(0x10000, np.uint8)
+def _state() -> dict:
+    if not _KEPT:
+        kind = np.zeros(0x10000, np.int64)
         for c in range(0x10000):
             if chr(c).isalpha():
-                low = ord(chr(c).lower()[0])
-                kind[c] = low - 96 if 97 <= low <= 122 else 27 + low % 13
-        own = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (LETTERS, DIMENSIONS))
-        first, second = np.roll(own, 2, axis=1), np.roll(own, 1, axis=1)
-        _TABLES.update(kind=kind, last=own, pair=(first[:, None, :] * second[None, :, :]).reshape(-1, DIMENSIONS))
-        _TABLES.update(slot=np.full(LETTERS**3, -1, np.int32), ready=np.zeros((READY, DIMENSIONS), np.float32), used=np.zeros(1, np.int64))
-    return _TABLES
+                kind[c] = ord(chr(c).lower()[0])
+        _KEPT.update(kind=kind, letters={}, slot={}, ready=np.zeros((READY, DIMENSIONS), np.int8))
+    return _KEPT
+
+
+def letter(code_point: int) -> np.ndarray:
+    """The vector of a letter, or of the gap (0)."""
+    known = _state()["letters"]
+    if code_point in known:
+        return known[code_point]
+    own = np.random.default_rng([SEED, code_point]).integers(0, 2, DIMENSIONS, np.int8) * np.int8(2) - np.int8(1)
+    if len(known) < LETTERS:
+        known[code_point] = own
+    return own
 
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigram codes and their counts; none if the text has no letter."""
+    """Distinct trigram codes (21 bits a letter) and their counts; none if the text has no letter."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = _tables()["kind"]
-    codes = kinds[np.minimum(points, 0xFFFF)].astype(np.int64)
-    for c in np.unique(points[points > 0xFFFF]):
-        codes[points == c] = 27 + int(c) % 13 if chr(c).isalpha() else 0
+    codes = _state()["kind"][np.minimum(points, 0xFFFF)]
+    for c in np.unique(points[points > 0xFFFF]).tolist():
+        codes[points == c] = ord(chr(c).lower()[0]) if chr(c).isalpha() else 0
     codes = np.concatenate([[0], codes, [0]])
     codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
     if not codes.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    whole = (codes[:-2] * LETTERS + codes[1:-1]) * LETTERS + codes[2:]
-    if len(whole) < 500:
-        return np.unique(whole, return_counts=True)
-    counts = np.bincount(whole, minlength=LETTERS**3)
-    found = np.flatnonzero(counts)
-    return found, counts[found]
+    return np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
+
+
+def _bind(codes: np.ndarray) -> np.ndarray:
+    """Letters' vectors, rotated by their place and multiplied."""
+    out = np.ones((len(codes), DIMENSIONS), np.int8)
+    for shift, turn in ((42, 2), (21, 1), (0, 0)):
+        found, at = np.unique(codes >> shift & PART, return_inverse=True)
+        out *= np.stack([np.roll(letter(c), turn) for c in found.tolist()])[at]
+    return out
 
 
 def _bound(codes: np.ndarray) -> np.ndarray:
     """The trigrams' vectors; those met first stay ready in the worker."""
-    t = _tables()
-    at = t["slot"][codes]
+    t = _state()
+    slot, ready = t["slot"], t["ready"]
+    at = np.fromiter((slot.get(c, -1) for c in codes.tolist()), np.int64, len(codes))
     new = np.flatnonzero(at < 0)
     if not len(new):
-        return t["ready"][at]
-    vectors = (t["pair"][codes[new] // LETTERS] * t["last"][codes[new] % LETTERS]).astype(np.float32)
-    used = int(t["used"][0])
+        return ready[at]
+    vectors, used = _bind(codes[new]), len(slot)
     n = min(len(new), READY - used)
-    t["ready"][used : used + n], t["slot"][codes[new[:n]]] = vectors[:n], np.arange(used, used + n)
-    t["used"][0] += n
-    out = t["ready"][np.maximum(at, 0)]
+    ready[used : used + n] = vectors[:n]
+    slot.update(zip(codes[new[:n]].tolist(), range(used, used + n)))
+    out = ready[np.maximum(at, 0)]
     out[new] = vectors
     return out
 
@@ -78,40 +91,58 @@ def _bound(codes: np.ndarray) -> np.ndarray:
 def bundle(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The profile: bound vectors of the trigrams, weighed by their counts. Exact below 2**24 trigrams, in double precision beyond."""
     out, kind = np.zeros(DIMENSIONS, np.float64), np.float32 if counts.sum() < 1 << 24 else np.float64
-    for k in range(0, len(codes), 4096):
-        out += counts[k : k + 4096].astype(kind) @ _bound(codes[k : k + 4096]).astype(kind, copy=False)
+    for k in range(0, len(codes), 2048):
+        out += counts[k : k + 2048].astype(kind) @ _bound(codes[k : k + 2048]).astype(kind)
     return out
 
 
-def learn(texts: DataFrame, most_at_once: int = 32) -> dict[str, np.ndarray]:
+def learn(texts: DataFrame, most_at_once: int = 32, most: int = LANGUAGES) -> dict[str, np.ndarray]:
     """language -> prototype, from all rows of `texts` (text, lang); rows with a null in either, or without a letter, teach nothing."""
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
+        pending: dict[str, list] = {}
+        waiting = 0
+
+        def settle():
+            for name, parts in pending.items():
+                codes, counts = (np.concatenate(x) for x in zip(*parts))
+                found, back = np.unique(codes, return_inverse=True)
+                profile = bundle(found, np.bincount(back, counts).astype(np.int64))
+                sums[name] = sums.get(name, 0) + np.rint(profile).astype(np.int64)
+            pending.clear()
 
         def out():
             names = sorted(sums)
-            vectors = [np.rint(bundle(c := np.flatnonzero(sums[n]), sums[n][c].astype(np.float64))).astype(np.int64).tolist() for n in names]
+            vectors = pa.array([sums[n].tolist() for n in names], pa.list_(pa.int64()))
             sums.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(vectors, pa.list_(pa.int64()))], ["lang", "vector"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), vectors], ["lang", "vector"])
 
         for batch in blocks(batches, "text"):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 codes, counts = trigrams(text)
                 if not len(codes):
                     continue
-                if lang not in sums:
-                    if len(sums) >= most_at_once:
-                        yield out()
-                    sums[lang] = np.zeros(LETTERS**3, np.int64)
-                sums[lang][codes] += counts
+                pending.setdefault(lang, []).append((codes, counts))
+                waiting += len(codes)
+                if waiting > PENDING:
+                    settle()
+                    waiting = 0
+                if len(sums.keys() | pending.keys()) > most_at_once:
+                    settle()
+                    waiting = 0
+                    yield out()
+        settle()
         if sums:
             yield out()
 
     parts = texts.where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, vector array<long>")
     totals = parts.select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    rows = totals.limit(most * DIMENSIONS + 1).collect()
+    if len(rows) > most * DIMENSIONS:
+        raise ValueError(f"over {most} languages; labels of this kind aren't languages")
     out: dict[str, np.ndarray] = {}
-    for row in totals.collect():
+    for row in rows:
         out.setdefault(row["lang"], np.zeros(DIMENSIONS))[row["i"]] = row["x"]
     return {k: out[k] for k in sorted(out)}
 
@@ -173,7 +204,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(id, held_out, lang_pred, score) for each row of `docs`.
 
     Learns from rows whose crc32(id as text) mod 3 is not 1 and whose language is known; a null id is neither held out nor
-    learned from. Predictions see the text alone. Repeated rows give repeated rows; other columns are not read.
+    learned from. Predictions see the text alone. Repeated rows give repeated rows, an empty table none; other columns are not
+    read. Equal cosines go to the first language by name. A text is taken whole, some tens of bytes a character while it is counted.
     """
     scored = predict(docs, learn(_training(docs, id_col, text_col, lang_col)), id_col, text_col)
     return scored.select(id_col, F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -162,14 +162,16 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, rate: f
     return model
 
 
-def learn(known: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int = 5) -> Additive:
-    """Fit on features (id, x) of labelled rows. Of labels that repeat an id the mean decides, 1 on ties; null labels are none."""
-    marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    train = known.join(marks, known["id"] == marks["doc_id"]).select("id", "x", "y")
-    n = train.count()
-    if n > sample:
-        train = train.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * sample / n)).limit(sample + sample // 10)
-    rows = sorted((r["id"], tuple(r["x"]), r["y"]) for r in train.collect())
+def learn(known: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int = 5, label_id: str = "doc_id", label_col: str = "quality") -> Additive:
+    """Fit on features (id, x) of labelled rows, of more than `sample` the first by a hash of the id.
+
+    Of labels that repeat an id the mean decides, 1 on ties; null labels are none.
+    """
+    marks = labels.select(F.col(label_id).alias("of"), F.col(label_col).alias("y")).where("of is not null and y is not null")
+    marks = marks.groupBy("of").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    train = known.join(marks, known["id"] == marks["of"]).select("id", "x", "y")
+    first = train.orderBy(F.xxhash64("id", F.lit(seed)), "id", "x").limit(sample)
+    rows = sorted((r["id"], tuple(r["x"]), r["y"]) for r in first.collect())
     return fit(np.array([r[1] for r in rows], np.float64).reshape(len(rows), len(FEATURES)), np.array([r[2] for r in rows], np.float64))
 
 
@@ -177,7 +179,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
     """(id, held_out, score, predicted) for each row of `docs`.
 
     Learns from labelled rows whose crc32(id as text) mod 5 is not 0; a null id is neither held out nor learned from. Empty and
-    null texts are scored like others. Repeated rows give repeated rows. `sample` bounds the labelled rows that the fit sees.
+    null texts are scored like others, equal texts alike. Repeated rows give repeated rows, an empty table none; without labelled
+    rows each score is 0.5. `sample` bounds the labelled rows that the fit sees. A text is taken whole: its words and pairs of
+    neighbouring words are counted in memory, some hundred bytes for each distinct one. Other columns, whatever their names, are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     known = stored(features(docs, id_col, text_col), "features")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe_codec, chat_format, embedding_dedup, language_id, lm_scoring, mixing, quality, simhash, token_counts, weighted_fingerprints
 from .common import table
@@ -20,7 +21,9 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    shards = F.array_sort(F.array_distinct(F.col("spans.shard")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"), F.md5(F.to_json("spans")).alias("spans_md5"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,15 +99,55 @@ def test_language_of_odd_texts(spark, odd):
     assert language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
-def test_bundle_equals_binding_letter_by_letter():
-    t = language_id._tables()
-    text = "Abc  de"
-    codes, counts = language_id.trigrams(text)
-    letters = [0, 1, 2, 3, 0, 4, 5, 0]
-    expected = np.zeros(language_id.DIMENSIONS)
+def brute_profile(text):
+    """Letter by letter: rotate, multiply, add."""
+    letters = [0]
+    for c in text or "":
+        k = ord(c.lower()[0]) if c.isalpha() else 0
+        if k or letters[-1]:
+            letters.append(k)
+    letters += [0] if letters[-1] else []
+    out = np.zeros(language_id.DIMENSIONS)
     for a, b, c in zip(letters, letters[1:], letters[2:]):
-        expected += np.roll(t["last"][a], 2).astype(int) * np.roll(t["last"][b], 1) * t["last"][c]
-    assert (language_id.bundle(codes, counts) == expected).all()
+        x, y, z = (language_id.letter(k).astype(int) for k in (a, b, c))
+        out += np.roll(x, 2) * np.roll(y, 1) * z
+    return out if any(letters) else None
+
+
+def brute_language(rows):
+    """(id, language, cosine) for rows of (id, text, lang)."""
+    prototypes = {}
+    for i, text, lang in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 3 != 1 and lang is not None and brute_profile(text) is not None:
+            prototypes[lang] = prototypes.get(lang, 0) + brute_profile(text)
+    out = []
+    for i, text, _ in rows:
+        own = brute_profile(text)
+        if own is None or not prototypes:
+            out.append((i, "und", 0.0))
+            continue
+        cosines = {n: float(own @ p / np.linalg.norm(own) / np.linalg.norm(p)) for n, p in prototypes.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        out.append((i, best, min(1.0, max(0.0, cosines[best]))))
+    return out
+
+
+@pytest.mark.parametrize("text", ["Abc  de", "naïve ÉLÈVE", "漢字かな交じり文", "привет мир", "\U00010400\U00010428 x", "İi"])
+def test_bundle_equals_binding_letter_by_letter(text):
+    assert (language_id.bundle(*language_id.trigrams(text)) == brute_profile(text)).all()
+
+
+def test_predictions_equal_brute_force(spark, sf, odd, monkeypatch):
+    rows = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400), "lang").limit(60).collect()]
+    rows += [(i, t, lang) for i, t, lang in odd.select("doc_id", "text", "lang").collect() if len(t or "") < 1000]
+    rows += [(10_000 + k, t * 5, lang) for k, (t, lang) in enumerate([("привет мир как дела ", "ru"), ("γειά σου κόσμε ", "el"), ("世界你好早上好 ", "zh"), ("こんにちは世界 ", "ja")] * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in language_id.identify(docs).collect()]
+    expected = [(i, lang, round(c, 6)) for i, lang, c in brute_language(rows)]
+    assert sorted(map(str, got)) == sorted(map(str, expected))
+    assert {lang for i, lang, _ in got if i and i >= 10_000} == {"ru", "el", "zh", "ja"}
+    with pytest.raises(ValueError):
+        language_id.learn(docs, most=2)
 
 
 def test_accept_keeps_columns_and_drops_what_has_no_language(spark, sf):
@@ -328,6 +368,31 @@ def test_quality_of_odd_texts(spark, odd):
     assert quality.classify(odd.limit(0), labels).count() == 0
 
 
+def test_scores_are_sums_of_table_entries(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    wide = docs.withColumn("x", F.lit("own")).withColumn("y", F.lit(1)).withColumn("id", F.lit(2)).withColumn("score", F.lit("s"))
+    rows = {r["doc_id"]: r["score"] for r in quality.classify(wide, labels).collect()}
+    classes = quality._classes()
+    x = {r["doc_id"]: np.array(quality.text_features(r["text"] or "", classes), np.float32).astype(float) for r in docs.collect()}
+    marks = [(r["doc_id"], r["quality"]) for r in labels.collect() if r["quality"] is not None and r["doc_id"] in x and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    marks.sort(key=lambda p: (p[0], tuple(x[p[0]])))
+    model = quality.fit(np.array([x[i] for i, _ in marks]), np.array([y for _, y in marks], float))
+    for i, score in rows.items():
+        bins = [sum(e <= v for e in edges) for edges, v in zip(model.edges, x[i])]
+        total = model.base + sum(t[b] for t, b in zip(model.tables, bins)) + sum(t[bins[a] // model.coarse, bins[b] // model.coarse] for (a, b), t in model.pairs.items())
+        assert score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_fit_sees_a_bounded_sample_that_reruns_repeat(spark, sf, monkeypatch):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    seen = []
+    real = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x, y)) or real(x, y))
+    for frame in (docs, docs.repartition(5)):
+        quality.classify(frame, labels, sample=7)
+    assert len(seen[0][1]) == 7 and (seen[0][0] == seen[1][0]).all() and (seen[0][1] == seen[1][1]).all()
+
+
 def test_tables_add_up_and_interactions_are_learned():
     rng = np.random.default_rng(3)
     x = rng.random((3000, 3))

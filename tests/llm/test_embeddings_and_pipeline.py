@@ -1,8 +1,7 @@
-"""Embedding dedup against all pairs, and the pipeline stage by stage."""
+"""Embedding dedup against all pairs."""
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tarnwater.llm import embedding_dedup
 from tarnwater.llm.common import table
@@ -66,28 +65,6 @@ def test_recall_on_a_table(spark, sf):
     assert all(a[1] >= b for a, b in zip(expected, [r["n_links"] for r in sorted(got, key=lambda r: str(r["vec_id"]))]))
 
 
-def test_pipeline_stages(spark, sf):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    docs = table(spark, sf, "documents")
-    labels = table(spark, sf, "labels")
-    assert [f(spark, docs, sf).columns for _, f in pipeline.STAGES[:-1]] == [docs.columns] * 4
-    kept = pipeline.good_quality(spark, docs, sf)
-    gone = docs.join(kept, "doc_id", "left_anti").join(labels, "doc_id")
-    assert gone.where("quality = 1").count() <= 2
-    single = pipeline.distinct_texts(spark, docs, sf)
-    assert single.count() == single.select("doc_id").distinct().count() < docs.count()
-    out = pipeline.run(spark, sf)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
-
-
-def test_pipeline_takes_odd_tables(spark, sf, odd):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for frame in (docs, docs.limit(0), docs.withColumn("text", F.lit(None).cast("string"))):
-        for _, stage in pipeline.STAGES:
-            stage(spark, frame, sf).collect()
-
-
 def test_repeated_rows_leave_one(spark, odd):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.createDataFrame([(1, "the same text of some words here", "en", "s", 1)] * 3 + [(2, "the same text of some words here", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
