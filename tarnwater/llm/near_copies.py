@@ -11,8 +11,10 @@ rarely above; a pair below 0.8 is never linked. Sets that may be similar enough
 classes too, which thins out chance matches by an order of magnitude.
 
 Large groups would still be compared pair by pair. So a first, linear round compares each set with one other of its bucket in each
-segment only; the full search then compares sets of different groups of that round, and a bucket's largest group isn't compared with
-itself. Links left out join sets which are connected already.
+segment only, the three nearest of which are checked; the full search then compares sets of different groups of that round, and a
+bucket's largest group isn't compared with itself. Links left out join sets which are connected already. Many sets that are
+somewhat alike, but not enough, would meet in crowded buckets again and again: there 512 parity bits of the sets, which bound the
+similarity from above, are compared inside the join.
 """
 
 from __future__ import annotations
@@ -38,6 +40,10 @@ MISS = 0.005
 AGREE = {16: 0.197, 20: 0.106, 24: 0.057, 28: 0.031}
 #: Share of bits that may differ, of a whole fingerprint and of its first 64 bits: over four deviations beyond what 0.8 leads to.
 FAR, FAR_FIRST = 0.25, 21
+#: Longs of parity bits, and the sets in a bucket from which on it is crowded.
+LONGS, CROWDED = 8, 16
+#: Sets that the first round checks of those that a set meets.
+NEAREST = 3
 #: Orders by which the sets of the first round are chosen.
 ORDERS = 32
 
@@ -77,8 +83,16 @@ def signature(hashes: np.ndarray, width: int, segments: int, block: int = 1 << 1
     return value | weak[:, 0] << 32 | weak[:, 1] << 40
 
 
+def parities(sets: list[np.ndarray]) -> pa.Array:
+    """For each set, whether each of its hashes' 512 classes has an odd number of them: two sets differ in at most as many of these bits as shingles."""
+    size = 64 * LONGS
+    odd = [np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1 for s in sets]
+    packed = np.packbits(np.array(odd, np.uint8).reshape(-1, size), axis=1, bitorder="little").view("<i8").ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(packed) + 1, LONGS, dtype=np.int32)), pa.array(packed))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, segments: int) -> DataFrame:
-    """(id, k1, k2, s1, s2, n, code) for each row: keys of the row and of its set, the set's size and signature."""
+    """(id, k1, k2, s1, s2, n, code, odd) for each row: keys of the row and of its set, the set's size, signature and parity bits."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -89,10 +103,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, segments:
             ends = pa.array(np.arange(0, len(codes) + 1, segments, dtype=np.int32))
             columns = [batch.column(c) for c in ("id", "k1", "k2")]
             columns += [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(codes))], ["id", "k1", "k2", "s1", "s2", "n", "code"])
+            columns += [pa.ListArray.from_arrays(ends, pa.array(codes)), parities(sets)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "k1", "k2", "s1", "s2", "n", "code", "odd"])
 
     rows = docs.select(docs[id_col].alias("id"), *row_key(docs, id_col, text_col), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, s1 long, s2 long, n long, code array<long>")
+    return rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, s1 long, s2 long, n long, code array<long>, odd array<long>")
 
 
 def row_key(docs: DataFrame, *columns: str) -> tuple[Column, Column]:
@@ -154,6 +169,16 @@ def _distance(a: str, b: str, width: int) -> Column:
     return F.aggregate(differing, F.lit(0), lambda total, d: total + d)
 
 
+def _may_be_near() -> Column:
+    """In crowded keys, whether sizes and parity bits allow the similarity: bits that differ are shingles that one set alone holds."""
+    both = F.col("x.n") + F.col("y.n")
+    bits = F.lit(0)
+    for k in range(LONGS):
+        bits = bits + F.bit_count(F.col("x.odd")[k].bitwiseXOR(F.col("y.odd")[k]))
+    allowed = (UNDER * F.least("x.n", "y.n") >= OVER * F.greatest("x.n", "y.n")) & ((OVER + UNDER) * bits <= (UNDER - OVER) * both)
+    return F.when(F.col("x.crowded") & F.col("y.crowded"), allowed).otherwise(True)
+
+
 def _near(pairs: DataFrame, sets: DataFrame, width: int, segments: int) -> DataFrame:
     """The rows of `pairs` whose sizes and complete distances allow the similarity, with the distance `far`."""
     facts = sets.select("node", "n", "code")
@@ -183,23 +208,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell
     pivots = listed.groupBy("key").agg(F.min_by(F.struct("node", "first"), order).alias("p"), F.count("*").alias("n")).where("n > 1")
     pivots = pivots.select("key", F.col("p.node").alias("b"), F.col("p.first").alias("fb"))
     met = listed.join(pivots, "key").where((F.col("node") != F.col("b")) & near_first("first", "fb")).select(F.col("node").alias("a"), "b").distinct()
-    best = _near(met, sets, width, segments).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+    nearest = F.slice(F.array_sort(F.collect_list(F.struct("far", "b"))), 1, NEAREST)  # of one for each segment at most
+    best = _near(met, sets, width, segments).groupBy("a").agg(nearest.alias("s")).select("a", F.explode("s").alias("s")).select("a", F.col("s.b").alias("b"))
     star = _verified(stored(best, "pairs"), sets, texts, cells)
     one = stored(components(star), "groups")
 
-    known = sets.join(one, "node", "left").select("node", "n", "first", "code", F.coalesce("component", "node").alias("root"))
+    known = sets.join(one, "node", "left").select("node", "n", "first", "code", "odd", F.coalesce("component", "node").alias("root"))
     known = stored(known.withColumn("class", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(UNDER / OVER)).cast("long")), "roots")
-    spots = known.select("node", "root", "first", "class", F.posexplode("code").alias("i", "c"))
+    spots = known.select("node", "root", "first", "n", "odd", "class", F.posexplode("code").alias("i", "c"))
     spots = spots.withColumn("i", F.col("i").cast("long"))
     key = lambda cls, v: F.shiftleft(cls, 40).bitwiseOR(F.shiftleft(F.col("i"), 32)).bitwiseOR(v)
     flips = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("c", at).bitwiseAND(255).cast("int")) for at in (32, 40)]
     ball = F.array(value("c"), value("c").bitwiseXOR(flips[0]), value("c").bitwiseXOR(flips[1]), value("c").bitwiseXOR(flips[0]).bitwiseXOR(flips[1]))
     # a set asks for sets of its own size class and the next
-    asks = spots.select("node", "root", "first", F.explode(F.transform(ball, lambda v: key(F.col("class"), v))).alias("key"))
-    haves = spots.select("node", "root", "first", F.explode(F.array(key(F.col("class"), value("c")), key(F.col("class") - 1, value("c")))).alias("key"))
-    asks, haves = apart(asks, haves, spots.select("root", F.explode(F.array(key(F.col("class"), value("c")))).alias("key")))
-    x, y = asks.alias("x"), haves.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root"))
+    asks = spots.select("node", "root", "first", "n", "odd", F.explode(F.transform(ball, lambda v: key(F.col("class"), v))).alias("key"))
+    haves = spots.select("node", "root", "first", "n", "odd", F.explode(F.array(key(F.col("class"), value("c")), key(F.col("class") - 1, value("c")))).alias("key"))
+    asks, haves = apart(asks, haves, spots.select("root", F.explode(F.array(key(F.col("class"), value("c")), key(F.col("class") - 1, value("c")))).alias("key")), CROWDED)
+    # outside crowded keys, which both sides know alike, the parity bits needn't move
+    x, y = (rows.withColumn("odd", F.when(F.col("crowded"), F.col("odd"))).alias(name) for rows, name in ((asks, "x"), (haves, "y")))
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & _may_be_near()
     ends = {"a": F.least("x.node", "y.node"), "b": F.greatest("x.node", "y.node")}
     ends |= {"ra": F.when(F.col("x.node") < F.col("y.node"), F.col("x.root")).otherwise(F.col("y.root")), "rb": F.when(F.col("x.node") < F.col("y.node"), F.col("y.root")).otherwise(F.col("x.root"))}
     more = x.join(y, meet & near_first("x.first", "y.first")).select(*(c.alias(k) for k, c in ends.items())).distinct()

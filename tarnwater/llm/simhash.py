@@ -103,8 +103,8 @@ def _keys(fps: DataFrame, segments: list[tuple[int, int, int]], balls: bool) ->
     return out.select("*", F.xxhash64("s.k", value).alias("key") if any(w > 40 for _, w, _ in segments) else (F.col("s.k").cast("long") * F.lit(1 << 40) + value).alias("key")).drop("s")
 
 
-def apart(asks: DataFrame, haves: DataFrame, listed: DataFrame, many: int = 256, small: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """asks and haves with a column `part` for a join on (key, part), in which a key's largest root doesn't meet itself.
+def apart(asks: DataFrame, haves: DataFrame, listed: DataFrame, many: int = 256, small: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """asks and haves with columns for a join on (key, part), in which a key's largest root doesn't meet itself; `crowded` marks such keys.
 
     `listed` tells how many rows of which root a key has. In keys of `many` rows and more, rows of the largest root that are had stand in
     part 1 and all others in part 0; rows of the largest root ask part 0, others both. Every pair of different roots still meets,
@@ -115,12 +115,12 @@ def apart(asks: DataFrame, haves: DataFrame, listed: DataFrame, many: int = 256,
     full = stored(full.select("key", "top"), "full")
     n = full.count()
     if not n:
-        return asks.withColumn("part", F.lit(0)), haves.withColumn("part", F.lit(0))
+        return tuple(rows.withColumns({"part": F.lit(0), "crowded": F.lit(False)}) for rows in (asks, haves))
     held = F.broadcast(full) if n <= small else full  # two longs a row
     major = F.col("root") == F.col("top")
     asks = asks.join(held, "key", "left").withColumn("part", F.explode(F.when(F.col("top").isNull() | major, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     haves = haves.join(held, "key", "left").withColumn("part", F.coalesce(major.cast("int"), F.lit(0)))
-    return asks.drop("top"), haves.drop("top")
+    return tuple(rows.withColumn("crowded", F.col("top").isNotNull()).drop("top") for rows in (asks, haves))
 
 
 def link(fps: DataFrame, distance: int = 4) -> DataFrame:

@@ -108,6 +108,24 @@ def test_share_of_pairs_that_meet(width):
     assert (1 - share) ** segments < 2 * near_copies.MISS
 
 
+@pytest.mark.parametrize("crowded", [2, 16])
+def test_family_of_which_many_are_not_near_enough(spark, crowded, monkeypatch):
+    """150 copies of one text with a tenth of its words replaced: some similarities of 0.8 and more, most a little below."""
+    monkeypatch.setattr(near_copies, "CROWDED", crowded)
+    rng = random.Random(9)
+    words = ["w%d" % rng.randrange(4000) for _ in range(160)]
+    rows = []
+    for k in range(150):
+        text = list(words)
+        for _ in range(rng.randint(1, 7)):
+            text[rng.randrange(len(text))] = "x%d" % rng.randrange(10**6)
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCUMENTS)
+    expected = survivors(rows)
+    assert 1 < len(expected) < 140
+    assert sorted(r["doc_id"] for r in near_copies.one_of_each(docs).collect()) == expected
+
+
 def test_stage_keeps_columns_of_any_name(spark, odd):
     extra = odd
     for name in ("k1", "k2", "_k1", "root", "node", "key", "n", "_key", "component_id", "text_"):
