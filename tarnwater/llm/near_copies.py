@@ -41,7 +41,7 @@ AGREE = {16: 0.197, 20: 0.106, 24: 0.057, 28: 0.031}
 #: Share of bits that may differ, of a whole fingerprint and of its first 64 bits: over four deviations beyond what 0.8 leads to.
 FAR, FAR_FIRST = 0.25, 21
 #: Longs of parity bits, and the sets in a bucket from which on it is crowded.
-LONGS, CROWDED = 8, 16
+LONGS, CROWDED = 8, 6
 #: Sets that the first round checks of those that a set meets.
 NEAREST = 3
 #: Orders by which the sets of the first round are chosen.
@@ -50,7 +50,7 @@ ORDERS = 32
 
 def layout(n: int) -> tuple[int, int]:
     """(width, segments) for n sets: wider segments as n grows, so that chance matches per set stay bounded."""
-    width = next((w for w in AGREE if n <= 1 << (w + 8)), max(AGREE))
+    width = next((w for w in AGREE if n <= 1 << (w + 4)), max(AGREE))
     return width, math.ceil(math.log(MISS) / math.log1p(-AGREE[width]))
 
 
@@ -169,22 +169,19 @@ def _distance(a: str, b: str, width: int) -> Column:
     return F.aggregate(differing, F.lit(0), lambda total, d: total + d)
 
 
-def _may_be_near() -> Column:
-    """In crowded keys, whether sizes and parity bits allow the similarity: bits that differ are shingles that one set alone holds."""
-    both = F.col("x.n") + F.col("y.n")
+def _allowed(n: str, m: str, odd: str, other: str) -> Column:
+    """Whether sizes and parity bits allow the similarity: bits that differ are at most the shingles that one set alone holds."""
     bits = F.lit(0)
     for k in range(LONGS):
-        bits = bits + F.bit_count(F.col("x.odd")[k].bitwiseXOR(F.col("y.odd")[k]))
-    allowed = (UNDER * F.least("x.n", "y.n") >= OVER * F.greatest("x.n", "y.n")) & ((OVER + UNDER) * bits <= (UNDER - OVER) * both)
-    return F.when(F.col("x.crowded") & F.col("y.crowded"), allowed).otherwise(True)
+        bits = bits + F.bit_count(F.col(odd)[k].bitwiseXOR(F.col(other)[k]))
+    return (UNDER * F.least(n, m) >= OVER * F.greatest(n, m)) & ((OVER + UNDER) * bits <= (UNDER - OVER) * (F.col(n) + F.col(m)))
 
 
 def _near(pairs: DataFrame, sets: DataFrame, width: int, segments: int) -> DataFrame:
-    """The rows of `pairs` whose sizes and complete distances allow the similarity, with the distance `far`."""
-    facts = sets.select("node", "n", "code")
-    both = pairs.join(facts.withColumnsRenamed({"node": "a", "n": "na", "code": "ca"}), "a").join(facts.withColumnsRenamed({"node": "b", "n": "nb", "code": "cb"}), "b")
-    sized = both.where(UNDER * F.least("na", "nb") >= OVER * F.greatest("na", "nb")).withColumn("far", _distance("ca", "cb", width))
-    return sized.where(F.col("far") <= int(FAR * width * segments)).select(*pairs.columns, "far")
+    """The rows of `pairs` whose sizes, complete distances and parity bits allow the similarity, with the distance `far`."""
+    one, two = (sets.select(F.col("node").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ("n", "code", "odd"))) for e in "ab")
+    both = pairs.join(one, "a").join(two, "b").where(_allowed("n_a", "n_b", "odd_a", "odd_b")).withColumn("far", _distance("code_a", "code_b", width))
+    return both.where(F.col("far") <= int(FAR * width * segments)).select(*pairs.columns, "far")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = 1 << 23) -> DataFrame:
@@ -223,10 +220,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell
     # a set asks for sets of its own size class and the next
     asks = spots.select("node", "root", "first", "n", "odd", F.explode(F.transform(ball, lambda v: key(F.col("class"), v))).alias("key"))
     haves = spots.select("node", "root", "first", "n", "odd", F.explode(F.array(key(F.col("class"), value("c")), key(F.col("class") - 1, value("c")))).alias("key"))
-    asks, haves = apart(asks, haves, spots.select("root", F.explode(F.array(key(F.col("class"), value("c")), key(F.col("class") - 1, value("c")))).alias("key")), CROWDED)
+    # some dozen size classes share the values of a segment: well above what chance brings together
+    crowd = max(CROWDED, known.count() >> width)
+    asks, haves = apart(asks, haves, spots.select("root", F.explode(F.array(key(F.col("class"), value("c")), key(F.col("class") - 1, value("c")))).alias("key")), crowd)
     # outside crowded keys, which both sides know alike, the parity bits needn't move
     x, y = (rows.withColumn("odd", F.when(F.col("crowded"), F.col("odd"))).alias(name) for rows, name in ((asks, "x"), (haves, "y")))
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & _may_be_near()
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & F.when(F.col("x.crowded") & F.col("y.crowded"), _allowed("x.n", "y.n", "x.odd", "y.odd")).otherwise(True)
     ends = {"a": F.least("x.node", "y.node"), "b": F.greatest("x.node", "y.node")}
     ends |= {"ra": F.when(F.col("x.node") < F.col("y.node"), F.col("x.root")).otherwise(F.col("y.root")), "rb": F.when(F.col("x.node") < F.col("y.node"), F.col("y.root")).otherwise(F.col("x.root"))}
     more = x.join(y, meet & near_first("x.first", "y.first")).select(*(c.alias(k) for k, c in ends.items())).distinct()
