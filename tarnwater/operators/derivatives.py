@@ -1,11 +1,10 @@
-"""Maps derived from a stack of dates: frequency, persistence, change, transitions, composites. Dates are ranked by cell."""
+"""Maps derived from a stack of dates: frequency, persistence, change, transitions, composites. First and last dates are those of the stack."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import CELL, NODATA, OPERA_LAND, OPERA_PARTIAL, OPERA_VALID_BELOW, OPERA_WATER, ratio
@@ -35,19 +34,26 @@ def shown_frequency(p: Column, least: float = 5.0) -> Column:
     return F.when(p >= least, p)
 
 
+def end_dates(stack: DataFrame, n: int, last: bool = False, day: str = "obs_date") -> list:
+    """The first (or, backwards, the last) n dates of the whole stack: n values, so that a scan of the stack can skip all others."""
+    return [r[0] for r in stack.select(day).where(F.col(day).isNotNull()).distinct().orderBy(F.desc(day) if last else F.asc(day)).limit(n).collect()]
+
+
 def water_change(stack: DataFrame, n_start: int = 3, n_end: int = 3, keys: Sequence[str] = CELL, day: str = "obs_date") -> DataFrame:
-    """Share of water on a cell's last dates less that on its first; shares count dates without data too."""
-    order = W.partitionBy(*keys)
-    x = stack.withColumns({"_a": F.row_number().over(order.orderBy(day)), "_z": F.row_number().over(order.orderBy(F.desc(day)))})
-    wet = F.col("cls").isin(*WET).cast("double")
-    return x.groupBy(*keys).agg((F.avg(F.when(F.col("_z") <= n_end, wet)) - F.avg(F.when(F.col("_a") <= n_start, wet))).alias("change"))
+    """Share of water of each cell on the stack's last dates less that on its first; dates without data on a cell count as no water."""
+    first, last = end_dates(stack, n_start, False, day), end_dates(stack, n_end, True, day)
+    wet = F.col("cls").isin(*WET)
+    share = lambda days, n: F.count_if(F.col(day).isin(days) & wet) / float(n)
+    ends = stack.where(F.col(day).isin([*first, *last])).groupBy(*keys).agg((share(last, n_end) - share(first, n_start)).alias("change"))
+    return stack.select(*keys).distinct().join(ends, list(keys), "left").withColumn("change", F.coalesce("change", F.lit(0.0)))
 
 
 def first_valid(stack: DataFrame, n: int = 3, last: bool = False, keys: Sequence[str] = CELL, day: str = "obs_date", valid_to: int = OPERA_VALID_BELOW) -> DataFrame:
-    """The first valid class among the first (or, backwards, the last) n dates of a cell; null if none is."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(day) if last else F.asc(day)))
-    kept = stack.withColumn("_k", rank).where(F.col("_k") <= n)
-    return kept.groupBy(*keys).agg(F.min_by(F.when(F.col("cls") <= valid_to, F.col("cls")), F.when(F.col("cls") <= valid_to, F.col("_k"))).cast("int").alias("cls"))
+    """The first valid class of each cell among the first (or, backwards, the last) n dates of the stack; null if none is."""
+    days = end_dates(stack, n, last, day)
+    valid = stack.where(F.col(day).isin(days) & (F.col("cls") <= valid_to))
+    found = valid.groupBy(*keys).agg((F.max_by if last else F.min_by)("cls", day).cast("int").alias("cls"))
+    return stack.select(*keys).distinct().join(found, list(keys), "left")
 
 
 def transitions(initial: Column, final: Column) -> Column:
@@ -61,7 +67,7 @@ def transitions(initial: Column, final: Column) -> Column:
 
 
 def first_and_last(stack: DataFrame, keys: Sequence[str] = CELL, n: int = 3, day: str = "obs_date") -> DataFrame:
-    """`initial` and `final`: composites of a cell's first and last n dates."""
+    """`initial` and `final`: composites of the stack's first and last n dates."""
     a = first_valid(stack, n, False, keys, day).withColumnRenamed("cls", "initial")
     return a.join(first_valid(stack, n, True, keys, day).withColumnRenamed("cls", "final"), list(keys))
 

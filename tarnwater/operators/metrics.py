@@ -17,8 +17,8 @@ def water_kinds(water_prob: Column, params: SeriesParams = SeriesParams()) -> di
     return {"permanent": water_prob >= params.permanent, "seasonal": (water_prob >= params.seasonal_min) & (water_prob < params.permanent), "ephemeral": (water_prob > 0) & (water_prob < params.seasonal_min), "any_water": water_prob > 0}
 
 
-def month_areas(monthly: DataFrame, stats: DataFrame, pixel_km2: float, params: SeriesParams = SeriesParams(), keys: Sequence[str] = CELL, month: str = "month_key") -> DataFrame:
-    """Areas by kind of water, valid cells and cloud share of each month."""
+def month_areas(monthly: DataFrame, stats: DataFrame, pixel_km2: float, params: SeriesParams = SeriesParams(), keys: Sequence[str] = CELL, month: str = "month_key", cells: int | None = None) -> DataFrame:
+    """Areas by kind of water, valid cells and cloud share of each month: of the rows that are there, or of a grid of `cells` cells."""
     kinds = water_kinds(F.coalesce("water_prob", F.lit(0.0)), params)
     c, wet = F.col("cls"), F.col("cls").isin(*WATER)
     x = monthly.join(stats.select(*keys, "water_prob"), list(keys), "left")
@@ -26,7 +26,7 @@ def month_areas(monthly: DataFrame, stats: DataFrame, pixel_km2: float, params:
     return x.groupBy(month).agg(
         area(wet).alias("total_area_km2"), *(area(wet & kinds[k]).alias(f"{k}_area_km2") for k in ("permanent", "seasonal", "ephemeral")),
         area(c.isin(*HIGH_WATER)).alias("high_conf_area_km2"), area(c == PARTIAL).alias("partial_area_km2"),
-        F.count_if(c != NODATA).alias("valid_pixels"), ratio(F.count_if(c == CLOUD), F.count("*")).alias("cloud_fraction"),
+        F.count_if(c != NODATA).alias("valid_pixels"), ratio(F.count_if(c == CLOUD), F.lit(cells) if cells else F.count("*")).alias("cloud_fraction"),
     )
 
 
@@ -52,10 +52,10 @@ def body_metrics(monthly: DataFrame, pixel_km2: float, grid: dict[str, float] |
     )
 
 
-def monthly_metrics(monthly: DataFrame, stats: DataFrame, pixel_km2: float, grid: dict[str, float] | None = None, params: SeriesParams = SeriesParams(), keys: Sequence[str] = CELL, month: str = "month_key") -> DataFrame:
+def monthly_metrics(monthly: DataFrame, stats: DataFrame, pixel_km2: float, grid: dict[str, float] | None = None, params: SeriesParams = SeriesParams(), keys: Sequence[str] = CELL, month: str = "month_key", cells: int | None = None) -> DataFrame:
     """All metrics of each month, with its year and month."""
     monthly = stored(monthly.select(month, *keys, "cls"), "monthly")
-    both = month_areas(monthly, stats, pixel_km2, params, keys, month).join(body_metrics(monthly, pixel_km2, grid, params, keys, month), month)
+    both = month_areas(monthly, stats, pixel_km2, params, keys, month, cells).join(body_metrics(monthly, pixel_km2, grid, params, keys, month), month)
     return both.withColumns({"year_i": F.floor(F.col(month) / 100).cast("int"), "month_i": (F.col(month) % 100).cast("int")})
 
 

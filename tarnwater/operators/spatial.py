@@ -189,7 +189,7 @@ def rasterize(grid: DataFrame, polygons: DataFrame, ring: str = "ring", keys: Se
     """Grid cells (unit squares in grid coordinates) that a polygon touches.
 
     A polygon is dealt to the 64-cell blocks its bounds meet, and cells of the same block are tested: an equi-join, not a product.
-    A cell is touched if its centre is inside or a side passes within its square, taken as half a diagonal here.
+    A cell is touched if its centre is inside or a side meets its square.
     """
     r, c = keys
     block = 64
@@ -197,10 +197,27 @@ def rasterize(grid: DataFrame, polygons: DataFrame, ring: str = "ring", keys: Se
     dealt = polygons.select(F.col(ring), F.explode(F.sequence(bound(F.array_min, "y"), bound(F.array_max, "y"))).alias("_br"), bound(F.array_min, "x").alias("_x0"), bound(F.array_max, "x").alias("_x1"))
     dealt = dealt.select(ring, "_br", F.explode(F.sequence("_x0", "_x1")).alias("_bc"))
     cells = grid.select(*keys, F.floor(F.col(r) / block).cast("int").alias("_br"), F.floor(F.col(c) / block).cast("int").alias("_bc"))
-    touched = polygon_distance(F.col(c) + 0.5, F.col(r) + 0.5, F.col(ring)) <= math.sqrt(0.5)
+    touched = inside(F.col(c) + 0.5, F.col(r) + 0.5, F.col(ring)) | sides_meet_square(F.col(c), F.col(r), F.col(ring))
     return cells.join(dealt, ["_br", "_bc"]).where(touched).select(*keys).distinct()
 
 
+def sides_meet_square(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a side of the ring meets the unit square from (x, y): the stretch of the side within the square's columns and within its rows overlap."""
+    n = F.size(ring)
+
+    def stretch(a: Column, b: Column, low: Column) -> tuple[Column, Column]:
+        level = a == b
+        one, two = F.try_divide(low - a, b - a), F.try_divide(low + 1 - a, b - a)
+        return F.when(level, F.when(a.between(low, low + 1), 0.0).otherwise(2.0)).otherwise(F.least(one, two)), F.when(level, 1.0).otherwise(F.greatest(one, two))
+
+    def meets(i: Column) -> Column:
+        p, q = F.get(ring, i), F.get(ring, (i + 1) % n)
+        (from_x, to_x), (from_y, to_y) = stretch(p["x"], q["x"], x), stretch(p["y"], q["y"], y)
+        return F.greatest(F.lit(0.0), from_x, from_y) <= F.least(F.lit(1.0), to_x, to_y)
+
+    return F.exists(F.transform(F.sequence(F.lit(0), n - 1), meets), lambda hit: hit)
+
+
 def crop(cells: DataFrame, lon: Column, lat: Column, box: tuple[float, float, float, float]) -> DataFrame:
     """Rows whose (lon, lat) lie in (west, south, east, north)."""
     return cells.where(lon.between(box[0], box[2]) & lat.between(box[1], box[3]))

@@ -25,21 +25,22 @@ def with_inwam(intr: DataFrame, inwam: DataFrame | None, keys: Sequence[str] = C
     return intr.join(inwam.select(*keys, "obs_date", F.col("cls").alias("inwam")), [*keys, "obs_date"], "left")
 
 
-def composites(obs: DataFrame, keys: Sequence[str] = CELL, stats_params: StatisticsParams = StatisticsParams(), monthly_params: MonthlyParams = MonthlyParams(), clean_params: CleanParams = CleanParams()) -> tuple[DataFrame, DataFrame]:
-    """(statistics, cleaned monthly composites) from daily observations (cls, inwam, obs_date, month_key).
+def composites(obs: DataFrame, cells: int, keys: Sequence[str] = CELL, stats_params: StatisticsParams = StatisticsParams(), monthly_params: MonthlyParams = MonthlyParams(), clean_params: CleanParams = CleanParams()) -> tuple[DataFrame, DataFrame]:
+    """(statistics, cleaned monthly composites) from daily observations (cls, inwam, obs_date, month_key) of a grid of `cells` cells.
 
+    Readers leave out cells without data, so a date's shares need the grid's size.
     Statistics, passing observations and composites are each written once: later steps read them several times.
     """
     stats = stored(statistics.water_statistics(obs, stats_params, keys), "statistics")
-    passed = monthly.passing(obs, monthly.daily_quality(obs, stats, monthly_params, keys))
+    passed = monthly.passing(obs, monthly.daily_quality(obs, stats, monthly_params, keys, cells=cells))
     months = stored(monthly.monthly_vote(passed, stats, monthly_params, keys), "monthly")
     has_inwam = not obs.where(F.col("inwam") >= 0).isEmpty()
     return stats, stored(clean.clean_monthly(months, stats, clean_params, has_inwam, keys), "cleaned")
 
 
-def series_of(cleaned: DataFrame, stats: DataFrame, pixel_km2: float, grid: dict[str, float] | None = None, keys: Sequence[str] = CELL, params: SeriesParams = SeriesParams()) -> DataFrame:
+def series_of(cleaned: DataFrame, stats: DataFrame, pixel_km2: float, cells: int | None = None, grid: dict[str, float] | None = None, keys: Sequence[str] = CELL, params: SeriesParams = SeriesParams()) -> DataFrame:
     """Monthly metrics with anomalies of the total area."""
-    rows = metrics.monthly_metrics(cleaned.select("month_key", *keys, "cls"), stats, pixel_km2, grid, params, keys)
+    rows = metrics.monthly_metrics(cleaned.select("month_key", *keys, "cls"), stats, pixel_km2, grid, params, keys, cells=cells)
     return series.anomalies(rows, "total_area_km2")
 
 

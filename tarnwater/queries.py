@@ -216,6 +216,14 @@ def daily_qc(s, d):
     return monthly.daily_quality(obs, statistics.water_statistics(obs, keys=KEYS), keys=KEYS)
 
 
+@query(f"""WITH {STATS}, {QUALITY.replace('SELECT o.obs_date, count(*) AS total', 'SELECT o.obs_date, 100 AS total')}
+SELECT *, cloud_frac <= 0.6 AND valid_frac >= 0.2 AND mismatch <= 0.3 AS passes FROM quality WHERE (SELECT count(*) FROM v_obs) >= 0""")
+def daily_qc_of_grid(s, d):
+    """Shares of the grid's 100 cells, of which many have no observation on a date."""
+    obs = stored(_obs(s, d), "observations")
+    return monthly.daily_quality(obs, statistics.water_statistics(obs, keys=KEYS), keys=KEYS, cells=100)
+
+
 def _both(s, d):
     """The month's composite by cell, and the statistics; daily observations are merged and written once."""
     obs = stored(_obs(s, d), "observations")
@@ -508,7 +516,9 @@ def significance_band(s, d):
 # --- derivatives
 
 FREQ = "f AS (SELECT cell_id, 100.0E0 * CASE WHEN v = 0 THEN 0.0E0 ELSE CAST(w AS DOUBLE) / v END AS water_pct FROM (SELECT cell_id, count(*) FILTER (WHERE cls < 250) AS v, count(*) FILTER (WHERE cls IN (1, 2)) AS w FROM v_dswx GROUP BY cell_id) c)"
-RANKED = "k AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY obs_date) AS a, row_number() OVER (PARTITION BY cell_id ORDER BY obs_date DESC) AS z FROM v_dswx)"
+#: Each observation with the rank of its date among all dates of the stack, from the first on and from the last on.
+RANKED = """days AS (SELECT obs_date, row_number() OVER (ORDER BY obs_date) AS a, row_number() OVER (ORDER BY obs_date DESC) AS z FROM (SELECT DISTINCT obs_date FROM v_dswx) q),
+k AS (SELECT v.*, d.a, d.z FROM v_dswx v JOIN days d ON v.obs_date = d.obs_date)"""
 ENDS = f"""{RANKED}, e AS (SELECT cell_id, arg_min(cls, a) FILTER (WHERE a <= 3 AND cls <= 250) AS initial, arg_min(cls, z) FILTER (WHERE z <= 3 AND cls <= 250) AS final FROM k GROUP BY cell_id)"""
 
 
@@ -522,7 +532,7 @@ def persistence(s, d):
     return derivatives.season_type(derivatives.persistence(derivatives.water_frequency(_dswx(s, d), KEYS)))
 
 
-@query(f"""WITH {RANKED} SELECT cell_id, avg(CASE WHEN cls IN (1, 2) THEN 1.0E0 ELSE 0.0E0 END) FILTER (WHERE z <= 3) - avg(CASE WHEN cls IN (1, 2) THEN 1.0E0 ELSE 0.0E0 END) FILTER (WHERE a <= 3) AS change
+@query(f"""WITH {RANKED} SELECT cell_id, (count(*) FILTER (WHERE z <= 3 AND cls IN (1, 2)) - count(*) FILTER (WHERE a <= 3 AND cls IN (1, 2))) / 3.0E0 AS change
 FROM k WHERE (SELECT count(*) FROM v_dswx) >= 0 GROUP BY cell_id""")
 def water_change(s, d):
     return derivatives.water_change(_dswx(s, d), keys=KEYS)
@@ -754,13 +764,11 @@ def lake_names(s, d):
 # --- grids
 
 
-@query("""WITH t AS (SELECT unnest(generate_series(0, 6)) AS row_i), u AS (SELECT unnest(generate_series(0, 6)) AS col_i)
-SELECT CAST(t.row_i AS INT) AS row_i, CAST(u.col_i AS INT) AS col_i, v.elev FROM t CROSS JOIN u LEFT JOIN v_dem v ON v.row_i = floor((t.row_i + 0.5) * 40 / 30.0E0) AND v.col_i = floor((u.col_i + 0.5) * 40 / 30.0E0)""")
+@query("""SELECT t.row_i, t.col_i, v.elev FROM v_dem t LEFT JOIN v_dem v ON v.row_i = floor((t.row_i + 0.5) * 40 / 30.0E0) AND v.col_i = floor((t.col_i + 0.5) * 40 / 30.0E0)""")
 def resample_nearest(s, d):
     grid = lambda size: {"a": size, "c": 1000.0, "e": -size, "f": 9000.0}
-    axis = s.range(7).select(F.col("id").cast("int").alias("row_i"))
-    target = axis.crossJoin(axis.select(F.col("row_i").alias("col_i")))
-    return spatial.resample_nearest(view(s, d, "v_dem").select("row_i", "col_i", "elev"), target, grid(40.0), grid(30.0))
+    dem = view(s, d, "v_dem").select("row_i", "col_i", "elev")
+    return spatial.resample_nearest(dem, dem.select("row_i", "col_i"), grid(40.0), grid(30.0))
 
 
 @query("SELECT row_i, col_i, elev FROM v_dem WHERE col_i * 0.5E0 + 10 BETWEEN 11 AND 13 AND 50 - row_i * 0.5E0 BETWEEN 46 AND 48")
@@ -768,10 +776,10 @@ def crop_window(s, d):
     return spatial.crop(view(s, d, "v_dem"), F.col("col_i") * 0.5 + 10, 50 - F.col("row_i") * 0.5, (11, 46, 13, 48)).select("row_i", "col_i", "elev")
 
 
-@query("""SELECT DISTINCT b.row_i, b.col_i FROM v_dem a JOIN (SELECT CAST(r.r AS INT) AS row_i, CAST(c.c AS INT) AS col_i FROM (SELECT unnest(generate_series(-3, 12)) AS r) r CROSS JOIN (SELECT unnest(generate_series(-3, 12)) AS c) c) b
-ON abs(a.row_i - b.row_i) + abs(a.col_i - b.col_i) <= 2 WHERE a.elev = 905""")
+@query("""WITH o AS (SELECT r.i, c.j FROM (SELECT unnest(generate_series(-7, 7)) AS i) r CROSS JOIN (SELECT unnest(generate_series(-7, 7)) AS j) c WHERE abs(r.i) + abs(c.j) <= 7)
+SELECT DISTINCT CAST(a.row_i + o.i AS INT) AS row_i, CAST(a.col_i + o.j AS INT) AS col_i FROM v_dem a, o WHERE a.elev = 905""")
 def dilate_lake(s, d):
-    return spatial.dilate(view(s, d, "v_dem").where("elev = 905").select("row_i", "col_i"), [], steps=2)
+    return spatial.dilate(view(s, d, "v_dem").where("elev = 905").select("row_i", "col_i"), [], steps=7)
 
 
 # --- names, places and further lookups
@@ -823,11 +831,11 @@ def affine(s, d):
     return view(s, d, "v_dem").select("cell_id", geo.pixel_to_geo(F.col("row_i"), F.col("col_i"), g).alias("p"), at.alias("q")).select("cell_id", "p.*", "q.*")
 
 
-@query("""WITH p AS (SELECT lake_id, x_m / 1300 AS x, y_m / 1300 AS y FROM v_lake),
+@query("""WITH p AS (SELECT lake_id, x_m / 1300 AS x, y_m / 130 AS y FROM v_lake),
 c AS (SELECT p.*, (1 - abs(p.x - v.col_i)) * (1 - abs(p.y - v.row_i)) AS w, v.elev FROM p JOIN v_dem v ON v.col_i IN (floor(p.x), floor(p.x) + 1) AND v.row_i IN (floor(p.y), floor(p.y) + 1))
 SELECT lake_id, x, y, round(sum(w * elev) / sum(w), 6) AS elev FROM c GROUP BY lake_id, x, y""")
 def bilinear_elevation(s, d):
-    points = view(s, d, "v_lake").select("lake_id", (F.col("x_m") / 1300).alias("x"), (F.col("y_m") / 1300).alias("y"))
+    points = view(s, d, "v_lake").select("lake_id", (F.col("x_m") / 1300).alias("x"), (F.col("y_m") / 130).alias("y"))
     return spatial.bilinear(view(s, d, "v_dem"), points, "elev").withColumn("elev", F.round("elev", 6))
 
 
@@ -838,7 +846,7 @@ def _ring(points):
     return F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points))
 
 
-@query("""SELECT row_i, col_i FROM (SELECT row_i, col_i, greatest(1.3 - (col_i + 0.5), 0, col_i + 0.5 - 6.7) AS dx, greatest(2.2 - (row_i + 0.5), 0, row_i + 0.5 - 5.9) AS dy FROM v_dem) t WHERE sqrt(dx * dx + dy * dy) <= sqrt(0.5)""")
+@query("SELECT row_i, col_i FROM v_dem WHERE col_i + 1 >= 1.3 AND col_i <= 6.7 AND row_i + 1 >= 2.2 AND row_i <= 5.9")
 def rasterize(s, d):
     return spatial.rasterize(view(s, d, "v_dem"), s.range(1).select(_ring(RECTANGLE).alias("ring")))
 

@@ -44,9 +44,9 @@ FROM orders GROUP BY year(o_orderdate), month(o_orderdate)""",
 SELECT CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INT) AS month_key, round(avg(l_discount * 100.0E0), 4) AS index_value
 FROM lineitem GROUP BY year(l_shipdate), month(l_shipdate)""",
     "v_dem": """
-SELECT CAST(p_partkey % 100 AS INT) AS cell_id, CAST(floor((p_partkey % 100) / 10.0) AS INT) AS row_i, CAST(p_partkey % 10 AS INT) AS col_i,
+SELECT CAST(p_partkey AS INT) AS cell_id, CAST(floor(p_partkey / 10.0) AS INT) AS row_i, CAST(p_partkey % 10 AS INT) AS col_i,
   CASE WHEN p_partkey % 5 = 0 THEN 905.0E0 ELSE 900.0E0 + (p_partkey % 23) * 0.5E0 END AS elev
-FROM part WHERE p_partkey < 100""",
+FROM part""",
     "v_lake": """
 SELECT s_suppkey AS lake_id, CONCAT('LAKE ', CAST(s_nationkey AS VARCHAR(10)), ';ALIAS') AS lake_name,
   (s_suppkey * 37 % 101) * 100.0E0 AS x_m, (s_suppkey * 53 % 97) * 100.0E0 AS y_m, s_acctbal AS wse, CAST(s_suppkey % 8 AS INT) AS file_id

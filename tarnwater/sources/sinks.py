@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,13 +17,14 @@ def partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
 def unwritten(df: DataFrame, path: str, by: str) -> DataFrame:
     """The rows of partitions not written yet. The names of partitions are read, not the data."""
     spark = df.sparkSession
-    try:
-        there = spark.read.parquet(path).select(by).distinct()
-    except Exception as error:  # nothing written yet
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return df
-        raise
-    return df.join(there, by, "left_anti")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(place) if f.isDirectory()] if files.exists(place) else []
+    there = [(unquote(n.partition("=")[2]),) for n in names if n.startswith(f"{by}=")]
+    if not there:
+        return df
+    written = spark.createDataFrame(there, "v string")
+    return df.join(written, F.coalesce(df[by].cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")) == written["v"], "left_anti")
 
 
 def series_csv(df: DataFrame, path: str, order: str = "month_key") -> None:

@@ -15,10 +15,12 @@ _WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests on one machine)."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder if all runs on one machine, as in tests, and an error if not."""
     context = spark.sparkContext
     place = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not place:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every machine of the cluster sees")
         own = tempfile.mkdtemp(prefix="tarnwater-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         place = f"file://{own}"

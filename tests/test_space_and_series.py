@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tarnwater.functions import geo, names, stl
 from tarnwater.functions.distributions import f_tail, normal_tails, t_tails
-from tarnwater.operators import catalog, compare, elevation, metrics, series, spatial
+from tarnwater.operators import catalog, compare, derivatives, elevation, metrics, series, spatial
+from tarnwater.operators import monthly as monthly_operators
 from tarnwater.sources import geotiff, readers, sinks
 
 
@@ -66,12 +67,46 @@ def test_polygon_predicates(spark):
     assert [r["d"] for r in rows] == pytest.approx([0.0, 1.0, 5.0])
 
 
+def meets(triangle, r, c):
+    """Whether a triangle meets a unit square: neither the axes nor the triangle's normals separate them."""
+    square = [(c, r), (c + 1, r), (c + 1, r + 1), (c, r + 1)]
+    sides = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(triangle, triangle[1:] + triangle[:1])]
+    for nx, ny in [(1, 0), (0, 1)] + [(-dy, dx) for dx, dy in sides]:
+        one, two = ([nx * x + ny * y for x, y in shape] for shape in (triangle, square))
+        if max(one) < min(two) or max(two) < min(one):
+            return False
+    return True
+
+
+def test_first_and_last_dates_are_those_of_the_stack(spark):
+    """A cell first seen on the fifth of eight dates has no initial class, one seen on the second date only has one."""
+    days = ["2020-01-%02d" % k for k in range(1, 9)]
+    rows = [(0, 0, d, 1) for d in days] + [(0, 1, d, 2) for d in days[4:]] + [(0, 2, days[1], 1)] + [(0, 3, days[3], 1)]
+    stack = spark.createDataFrame(rows, "row_i int, col_i int, day string, cls int").withColumn("obs_date", F.to_date("day"))
+    ends = {r["col_i"]: (r["initial"], r["final"]) for r in derivatives.first_and_last(stack).collect()}
+    assert ends == {0: (1, 1), 1: (None, 2), 2: (1, None), 3: (None, None)}
+    change = {r["col_i"]: round(r["change"], 6) for r in derivatives.water_change(stack).collect()}
+    assert change == {0: 0.0, 1: 1.0, 2: round(-1 / 3, 6), 3: 0.0}
+
+
+def test_shares_of_a_date_are_of_the_grid(spark):
+    obs = spark.createDataFrame([(0, 0, "2020-01-01", 1)], "row_i int, col_i int, obs_date string, cls int")
+    stats = spark.createDataFrame([(0, 0, 1.0)], "row_i int, col_i int, water_prob double")
+    row = monthly_operators.daily_quality(obs, stats, cells=100).first()
+    assert row["valid_frac"] == 0.01 and not row["passes"]
+
+
 def test_rasterize_and_bilinear(spark):
     grid = spark.createDataFrame([(r, c, float(r * 10 + c)) for r in range(6) for c in range(6)], "row_i int, col_i int, v double")
     ring = [(1.2, 1.2), (2.8, 1.2), (2.8, 2.8), (1.2, 2.8)]
     polygons = spark.createDataFrame([([{"x": x, "y": y} for x, y in ring],)], "ring array<struct<x: double, y: double>>")
     got = {tuple(r) for r in spatial.rasterize(grid, polygons).collect()}
-    assert {(1, 1), (1, 2), (2, 1), (2, 2)} <= got and (5, 5) not in got
+    assert got == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    rng = random.Random(2)
+    for _ in range(3):
+        triangle = [(rng.uniform(-1, 7), rng.uniform(-1, 7)) for _ in range(3)]
+        one = spark.createDataFrame([([{"x": x, "y": y} for x, y in triangle],)], "ring array<struct<x: double, y: double>>")
+        assert {tuple(r) for r in spatial.rasterize(grid, one).collect()} == {(r, c) for r in range(6) for c in range(6) if meets(triangle, r, c)}
     points = spark.createDataFrame([(1.5, 2.25)], "x double, y double")
     assert spatial.bilinear(grid, points, "v").first()["v"] == pytest.approx(24.0)
 
@@ -180,7 +215,7 @@ def test_whole_plan(spark):
     rng = random.Random(1)
     rows = [(r, c, f"19{95 + m // 12}-{m % 12 + 1:02d}-{d:02d}", 1 if r < 4 else rng.choice([0, 0, 0, 9]), k) for m in range(4) for d in (3, 13, 23) for r in range(8) for c in range(8) for k in range(2)]
     scenes = spark.createDataFrame(rows, "row_i int, col_i int, day string, cls int, file_pos int").withColumn("obs_date", F.to_date("day")).drop("day")
-    stats, cleaned = plan.composites(plan.with_inwam(plan.daily(scenes), None))
+    stats, cleaned = plan.composites(plan.with_inwam(plan.daily(scenes), None), 64)
     out = plan.series_of(cleaned, stats, 0.0009).orderBy("month_key").collect()
     assert len(out) == 4 and all(r["num_water_bodies"] == 1 and r["total_area_km2"] == pytest.approx(32 * 0.0009) for r in out)
     assert metrics.one_per_month(cleaned, cleaned).count() == cleaned.count()
