@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,16 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python in smaller batches than by default, for operators that hold tables beside them; a set value stays."""
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While this lasts, texts go to Python in batches of so many rows: for operators that hold tables beside them."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, str(rows))
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was) if was is not None else spark.conf.unset(name)
 
 
 def released() -> None:

@@ -6,29 +6,33 @@ Escapes are estimated by method D (half a count for each distinct successor), an
 excluded from the shorter ones, so the probabilities behind each context add up to one. A text begins behind 0xFF bytes and ends
 with one, which UTF-8 doesn't use otherwise.
 
-Only counts of full-depth contexts are gathered; shorter ones are their sums. The trie grows with the training texts, so it is
-cut into slices by the last three bytes of the context: a prediction's contexts of three bytes and more all lie in one slice,
-shorter ones (at most 2**24 counts, whatever is read) are in each. The number of slices follows from the number of counts, one slice
-is broadcast and scored at a time, and a text's score is the sum over slices. One slice holds about `SLICE` counts, and
-can't hold more than that and 2**24 with depth five.
-
-Words for the baseline have no such bound. Their counts are summed before the shuffle and stay a distributed table. Words
-too frequent to be joined cheaply, of which there are `frequent` at most, are broadcast and looked up where the text is read, so
-they never form hot keys; only the rarer words of each text are joined to the table.
+A context that was seen fewer than `SURE` times says little, so prediction starts at the longest one seen as often.
+
+Texts are cut into blocks of about `BLOCK` bytes. Each block lists its distinct full-depth contexts with their symbols, and its distinct
+words, with their counts in its training texts. The lists meet by the last three bytes of the context: all counts of a prediction's
+contexts of three bytes and more are then in one task, which sums them over the blocks, builds the trie of its part, scores each listed
+prediction once, and sends the scores back to the blocks that listed it. Counts of shorter contexts, of which there are 2**24 at
+most whatever is read, go to every task. Words are summed the same way, by word. At last each block's texts meet the block's own
+scores and word counts. So the corpus is read once, nothing that grows with it passes through the driver, and no context or word is a
+hot key: a block lists it once, however often it holds it.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, released, small_batches, stored
+from .common import batches_of, blocks, dropped, released, stored
 
-DEPTH, SLICE, GATHERED, EDGE = 5, 4_000_000, 1_000_000, b"\xff"
-_MODEL: dict[str, Trie] = {}
+DEPTH, SURE, EDGE = 5, 2, b"\xff"
+#: Bytes of text in a block, entries that a task gathers before it sends them on, and entries that one part of the trie is built from.
+BLOCK, GATHERED, PART = 16 << 20, 2_000_000, 2_000_000
 
 
 def contexts(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +57,7 @@ def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Trie:
-    """Counts by context and symbol at each depth, ready for scoring.
+    """Counts by context and symbol at each depth.
 
     A context's node has n and d, total and number of its successors, and what excluding them leaves of the next shorter
     context: m and e. Seen symbols have (c - 1/2) / n, escapes d / 2n; behind an escape the shorter context is read with m and
@@ -83,47 +87,9 @@ class Trie:
                 gone = np.add.reduceat(self.cells[k - 1][1][there], first)
                 m, e = self.nodes[k - 1][1][at] - gone, self.nodes[k - 1][2][at] - d
             self.nodes[k] = (codes[first] >> 8, n.astype(np.float64), d.astype(np.float64), m, e)
-        self._hash()
-
-    def _hash(self) -> None:
-        """Open addressing over the full-depth cells: nearly all predictions end there."""
-        codes, counts = self.cells[self.depth]
-        _, n, d, _, _ = self.nodes[self.depth]
-        each = np.repeat(np.arange(len(n)), d.astype(np.int64))
-        value = (np.log10(counts - 0.5) - np.log10(n)[each]).astype(np.float32) if len(codes) else np.zeros(0, np.float32)
-        self.bits = max(4, int(np.ceil(np.log2(2 * len(codes) + 1))))
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        todo, slot = np.arange(len(codes)), self._slot(codes)
-        while len(todo):
-            free = self.keys[slot] < 0
-            self.keys[slot[free]] = codes[todo[free]]
-            won = self.keys[slot] == codes[todo]
-            self.values[slot[won]] = value[todo[won]]
-            todo, slot = todo[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, codes: np.ndarray) -> np.ndarray:
-        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each prediction."""
-        slot = self._slot(codes)
-        key = self.keys[slot]
-        out = self.values[slot].astype(np.float64)
-        todo = np.flatnonzero(key != codes)
-        at, lost = slot[todo], []
-        while len(todo):
-            key = self.keys[at]
-            hit = key == codes[todo]
-            out[todo[hit]] = self.values[at[hit]]
-            lost.append(todo[key < 0])
-            more = ~hit & (key >= 0)
-            todo, at = todo[more], (at[more] + 1) & ((1 << self.bits) - 1)
-        if lost and len(rest := np.concatenate(lost)):
-            distinct, back = np.unique(codes[rest], return_inverse=True)
-            out[rest] = self._escape(distinct)[back]
-        return out
 
-    def _escape(self, codes: np.ndarray) -> np.ndarray:
+    def score(self, codes: np.ndarray, sure: int = SURE) -> np.ndarray:
+        """log10 probability of each prediction."""
         out, fresh = np.zeros(len(codes)), np.ones(len(codes), bool)
         n, d, todo = np.zeros(len(codes)), np.zeros(len(codes)), np.arange(len(codes))
         for k in range(self.depth, -1, -1):
@@ -134,7 +100,7 @@ class Trie:
             if not len(nodes[0]):
                 continue
             at = np.minimum(np.searchsorted(nodes[0], code >> 8), len(nodes[0]) - 1)
-            known = nodes[0][at] == code >> 8
+            known = (nodes[0][at] == code >> 8) & (~fresh[todo] | (nodes[1][at] >= sure) | (k == 0))
             n[todo], d[todo] = np.where(fresh[todo], nodes[1][at], n[todo]), np.where(fresh[todo], nodes[2][at], d[todo])
             there = np.minimum(np.searchsorted(cells[0], code), len(cells[0]) - 1)
             seen = known & (cells[0][there] == code)
@@ -156,124 +122,161 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return rows.filter(full).to_numpy(zero_copy_only=False), coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
 
 
-def _lower(batch: pa.RecordBatch) -> pa.Array:
-    return pc.ascii_lower(pc.fill_null(batch.column("text"), "").cast(pa.string()))
-
-
 def _fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 7
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 300_000, block: int = 1 << 20) -> DataFrame:
+def _blocked(docs: DataFrame, id_col: str, text_col: str, budget: int) -> DataFrame:
+    """(block, train, id, text): neighbouring rows share a block until their texts hold `budget` bytes; a longer text stands alone."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        task, number, held = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False) + 64
+            block = np.zeros(len(sizes), np.int64)
+            for k, size in enumerate(sizes.tolist()):
+                if held and held + size > budget:
+                    number, held = number + 1, 0
+                held += size
+                block[k] = task << 32 | number
+            yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], ["block", "train", "id", "text"])
+
+    train = F.coalesce(_fold(docs[id_col]) != 2, F.lit(False))
+    rows = docs.select(train.alias("train"), docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"block long, train boolean, id {kind}, text string")
+
+
+def _listed(texts: DataFrame, piece: int) -> DataFrame:
+    """(block, code, word, n): predictions and words of each block with their counts in its training texts; without either, those texts' number."""
+
+    def run(batches):
+        codes: list[tuple[np.ndarray, np.ndarray]] = []
+        words: dict[str, int] = {}
+        now, ends = None, 0
+
+        def out():
+            nonlocal ends
+            if codes:
+                found, n = summed(*(np.concatenate(x) for x in zip(*codes)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), now)), pa.array(found), pa.nulls(len(found), pa.string()), pa.array(n)], ["block", "code", "word", "n"])
+            n = len(words) + 1
+            columns = [pa.array(np.full(n, now)), pa.nulls(n, pa.int64()), pa.array([*words, None], pa.string()), pa.array([*words.values(), ends], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "code", "word", "n"])
+            codes.clear()
+            words.clear()
+            ends = 0
+
+        for whole in batches:
+            block = whole.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)] if len(block) else []
+            for a, b in zip(edges, edges[1:]):
+                if now is not None and now != block[a]:
+                    yield from out()
+                now = block[a]
+                for batch in blocks([whole.slice(a, b - a)], "text", piece):
+                    train = batch.column("train").to_numpy(zero_copy_only=False)
+                    texts = pc.ascii_lower(batch.column("text"))
+                    row, found, at = _words(texts)
+                    for word, n in zip(found.to_pylist(), np.bincount(at, train[row], len(found)).astype(int).tolist()):
+                        words[word] = words.get(word, 0) + n
+                    ends += int(train.sum())
+                    plain = [t.encode() for t in texts.to_pylist()]
+                    for of, weight in ((train, 1), (~train, 0)):
+                        some = [t for t, yes in zip(plain, of) if yes]
+                        if some:
+                            code, n = np.unique(contexts(some)[0], return_counts=True)
+                            codes.append((code, n * weight))
+                    if sum(len(c) for c, _ in codes) > GATHERED:
+                        yield from out()
+        if now is not None:
+            yield from out()
+        released()
+
+    return texts.mapInArrow(run, "block long, code long, word string, n long")
+
+
+def _scored(asked: DataFrame, short, parts: int) -> DataFrame:
+    """(block, code, gain) for each listed prediction, from the trie of the part that it falls in."""
+
+    def run(batches):
+        held = [tuple(b.column(c).to_numpy() for c in ("block", "code", "n")) for b in batches if b.num_rows]
+        if not held:
+            return
+        block, code, n = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        found, total = summed(code, n)
+        seen = total > 0
+        gains = Trie((found[seen], total[seen]), short.value).score(found).astype(np.float32)
+        for k in range(0, len(code), 1 << 18):
+            part = code[k : k + (1 << 18)]
+            columns = [pa.array(block[k : k + (1 << 18)]), pa.array(part), pa.array(gains[np.searchsorted(found, part)])]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "code", "gain"])
+        released()
+
+    by_context = F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFFFF))
+    return asked.repartition(parts, by_context).mapInArrow(run, "block long, code long, gain float")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, part: int = PART, piece: int = 1 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs`.
 
     Learns from rows whose crc32(id as text) mod 7 is not 2; a null id is neither held out nor learned from. A null text counts
-    as empty and has one token, its end. Without training rows each byte costs log10(1/256). Repeated rows give repeated rows.
-    Both scores are log10 probabilities of the text with A-Z lower-cased.
+    as empty and has one token, its end. Without training rows each byte costs log10(1/256). Repeated rows give repeated rows with
+    equal scores, an empty table none. Both scores are log10 probabilities of the text with A-Z lower-cased. A text is taken whole,
+    one that is longer than a block in a block of its own, with some tens of bytes a character. Other columns are not read.
     """
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    small_batches(spark)
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    with batches_of(docs.sparkSession, 1000):
+        return _score(docs, id_col, text_col, block, part, piece)
 
-    def gather(batches):
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out():
-            codes, counts = summed(*(np.concatenate(x) for x in zip(*kept)))
-            kept.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.string()), pa.array(codes), pa.array(counts)], ["word", "code", "n"])
-
-        for batch in blocks(batches, "text", block):
-            texts = _lower(batch)
-            _, words, at = _words(texts)
-            kept.append(np.unique(contexts([t.encode() for t in texts.to_pylist()])[0], return_counts=True))
-            yield pa.RecordBatch.from_arrays([words, pa.nulls(len(words), pa.int64()), pa.array(np.bincount(at, minlength=len(words)))], ["word", "code", "n"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([batch.num_rows], pa.int64())], ["word", "code", "n"])
-            if sum(len(x[0]) for x in kept) > GATHERED:
-                yield out()
-        if kept:
-            yield out()
+def _score(docs: DataFrame, id_col: str, text_col: str, block: int, part: int, piece: int) -> DataFrame:
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    texts = stored(_blocked(docs, id_col, text_col, block), "texts")
+    listed = stored(_listed(texts, piece), "listed")
+    asked = listed.where("code is not null").select("block", "code", "n")
+    words = listed.where("word is not null").select("block", "word", "n")
+    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    ends = int(listed.where("word is null and code is null").agg(F.sum("n")).first()[0] or 0)
+    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    total, distinct = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
+    shorter = asked.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit(0xFFFFFF)).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    short = spark.sparkContext.broadcast(tuple(shorter.column(c).to_numpy() for c in ("code", "n")))
+    parts = max(1, -(-asked.count() // part))
+    gains = _scored(asked, short, parts).select("block", "code", "gain", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("c"))
+    known = words.select("block", "word").distinct().join(counts, "word")
+    model = gains.unionByName(known.select("block", F.lit(None).cast("long").alias("code"), F.lit(None).cast("float").alias("gain"), "word", "c"))
+    end_worth, each_worth = math.log10(ends + 1), math.log10(total + distinct + 1)
+    names = ["id", "train", "words", "sure", "base", "score"]
+
+    def evaluate(rows: pa.Table, own: pa.Table) -> pa.Table:
+        of_codes, of_words = own.filter(pc.is_valid(own.column("code"))), own.filter(pc.is_valid(own.column("word")))
+        code, gain = of_codes.column("code").to_numpy(), of_codes.column("gain").to_numpy()
+        rank = np.argsort(code, kind="stable")
+        code, gain = code[rank], gain[rank].astype(np.float64)
+        known, times = of_words.column("word").combine_chunks(), of_words.column("c").to_numpy()
+        out = []
+        for batch in blocks(rows.to_batches(), "text", piece):
+            texts, n = pc.ascii_lower(batch.column("text")), batch.num_rows
+            asked, upto = contexts([t.encode() for t in texts.to_pylist()])
+            values = gain[np.searchsorted(code, asked)]
+            total = np.add.reduceat(values, np.concatenate([[0], upto[:-1]]))
+            row, found, at = _words(texts)
+            c = times[pc.index_in(found, value_set=known).to_numpy(zero_copy_only=False)][at] if len(found) else np.zeros(0, np.int64)
+            tokens = np.bincount(row, minlength=n)
+            base = np.bincount(row, np.log10(c + 1.0), n) + end_worth - (tokens + 1) * each_worth
+            sure = np.bincount(row, c > 0, n).astype(np.int64) + int(ends > 0)
+            columns = [batch.column("id"), batch.column("train"), pa.array(tokens + 1, pa.int64()), pa.array(sure), pa.array(base), pa.array(total)]
+            out.append(pa.RecordBatch.from_arrays(columns, names))
         released()
+        return pa.Table.from_batches(out)
 
-    counted = stored(rows.where(_fold(F.col("id")) != 2).mapInArrow(gather, "word string, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n")), "counts")
-    cells, words = counted.where("code is not null").select("code", "n"), counted.where("word is not null").select("word", "n")
-    ends = int((counted.where("word is null and code is null").agg(F.sum("n")).first()[0]) or 0)
-    sizes = sorted(((r["k"], r["words"], r["n"]) for r in words.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()), reverse=True)
-    total, distinct = sum(x[2] for x in sizes) + ends, sum(x[1] for x in sizes) + (ends > 0)
-    least, held = 1 << 62, 0
-    for k, n, _ in sizes:
-        if held + n > frequent:
-            break
-        least, held = 1 << k, held + n
-    common = words.where(F.col("n") >= least).toArrow()
-    known_words = spark.sparkContext.broadcast((common.column("word").combine_chunks(), common.column("n").to_numpy()))
-    short = cells.groupBy((F.col("code").bitwiseAND(F.lit(0xFFFFFF))).alias("code")).agg(F.sum("n").alias("n")).toArrow()
-    slices = max(1, -(-cells.count() // SLICE))
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    if slices > 1:
-        numbered = stored(numbered, "texts")
-
-    def slice_of(code):
-        return F.pmod(F.xxhash64(F.shiftright(code, 8).bitwiseAND(F.lit(0xFFFFFF))), F.lit(slices))
-
-    def scored(number: int) -> DataFrame:
-        """Of each row its score by the slice's contexts; with the first slice also its words."""
-        own = (cells.where(slice_of(F.col("code")) == number) if slices > 1 else cells).toArrow()
-        tables = [(t.column("code").to_numpy(), t.column("n").to_numpy()) for t in (own, short)]
-        shared = spark.sparkContext.broadcast(tables)
-        # which of all last three bytes belong to the slice: a bit each
-        mine = None
-        if slices > 1:
-            keys = spark.range(1 << 24).where(F.pmod(F.xxhash64("id"), F.lit(slices)) == number).toArrow().column("id").to_numpy()
-            bits = np.zeros(1 << 24, bool)
-            bits[keys] = True
-            mine = spark.sparkContext.broadcast(np.packbits(bits))
-        mark = f"{spark.sparkContext.applicationId}/{id(shared)}/{number}/{total}/{len(own)}"
-
-        def evaluate(batches):
-            if mark not in _MODEL:
-                _MODEL.clear()
-                _MODEL[mark] = Trie(*shared.value)
-            trie, inside = _MODEL[mark], None if mine is None else np.unpackbits(mine.value).astype(bool)
-            known, times = known_words.value
-            worth = np.log10(times + 1.0)
-            for batch in blocks(batches, "text", block):
-                texts, n = _lower(batch), batch.num_rows
-                code, upto = contexts([t.encode() for t in texts.to_pylist()])
-                gains = trie.score(code) if inside is None else np.zeros(len(code))
-                if inside is not None:
-                    here = np.flatnonzero(inside[code >> 8 & 0xFFFFFF])
-                    gains[here] = trie.score(code[here])
-                sums = pa.array(np.add.reduceat(gains, np.concatenate([[0], upto[:-1]])))
-                if number:
-                    yield pa.RecordBatch.from_arrays([batch.column("row"), sums], ["row", "score"])
-                    continue
-                row, found, at = _words(texts)
-                place = pc.fill_null(pc.index_in(found, value_set=known), -1).to_numpy(zero_copy_only=False) if len(known) else np.full(len(found), -1)
-                value = np.append(worth, 0.0)[place]
-                tokens = np.bincount(row, minlength=n)
-                base, sure = np.bincount(row, value[at], n).astype(np.float64), np.bincount(row, (place >= 0)[at], n).astype(np.int64)
-                rare, width = place[at] < 0, max(len(found), 1)
-                pair, times_in = np.unique(row[rare].astype(np.int64) * width + at[rare], return_counts=True)
-                ends_rare = np.cumsum([0, *np.bincount(pair // width, minlength=n)]).astype(np.int32)
-                listed = pa.StructArray.from_arrays([found.take(pa.array(pair % width)), pa.array(times_in.astype(np.int32))], ["word", "n"])
-                yield pa.RecordBatch.from_arrays([batch.column("row"), sums, batch.column("id"), pa.array(tokens), pa.array(sure), pa.array(base), pa.ListArray.from_arrays(pa.array(ends_rare), listed)], ["row", "score", "id", "words", "sure", "base", "rare"])
-            released()
-
-        more = f", id {kind}, words long, sure long, base double, rare array<struct<word: string, n: int>>" if not number else ""
-        return stored(numbered.mapInArrow(evaluate, f"row long, score double{more}"), "parts")
-
-    parts = scored(0)
-    others = [scored(k) for k in range(1, slices)]
-    rare = parts.select("row", F.explode("rare").alias("w")).select("row", F.col("w.word").alias("word"), F.col("w.n").alias("times"))
-    joined = rare.join(words.where(F.col("n") < least), "word")
-    sums = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("more"), F.sum("times").alias("also"))
-    out = parts.drop("rare").join(sums, "row", "left")
-    for k, other in enumerate(others):
-        out = out.join(other.withColumnRenamed("score", f"score{k}"), "row").withColumn("score", F.col("score") + F.col(f"score{k}")).drop(f"score{k}")
-    tokens = F.col("words") + 1
-    base = F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(float(np.log10(ends + 1))) - tokens * F.lit(float(np.log10(total + distinct + 1)))
+    meeting = texts.groupBy("block").cogroup(model.groupBy("block"))
+    rows = meeting.applyInArrow(evaluate, f"id {kind}, train boolean, words long, sure long, base double, score double")
+    out = stored(rows, "scores")
+    for done in (texts, listed, counts):
+        dropped(spark, done)
     return out.select(
-        F.col("id").alias(id_col), F.coalesce(_fold(F.col("id")) == 2, F.lit(False)).alias("held_out"), tokens.cast("long").alias("n_tokens"),
-        (F.col("sure") + F.coalesce("also", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.col("id").alias(id_col), F.coalesce(_fold(F.col("id")) == 2, F.lit(False)).alias("held_out"), F.col("words").alias("n_tokens"),
+        F.col("sure").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
     )

@@ -303,7 +303,7 @@ def test_scores(spark, odd):
     assert none["score"] == pytest.approx(-3 * math.log10(256)) and none["n_known"] == 0
 
 
-def brute_score(train, text, depth):
+def brute_score(train, text, depth=lm_scoring.DEPTH, sure=lm_scoring.SURE):
     counts = {}
     for t in train:
         data = b"\xff" * depth + t + b"\xff"
@@ -312,10 +312,12 @@ def brute_score(train, text, depth):
                 counts.setdefault(data[i - k : i], Counter())[data[i]] += 1
     total, data = 0.0, b"\xff" * depth + text + b"\xff"
     for i in range(depth, len(data)):
-        out = set()
+        out, begun = set(), False
         for k in range(depth, -1, -1):
-            left = {s: c for s, c in counts.get(data[i - k : i], {}).items() if s not in out}
-            if not left:
+            seen = counts.get(data[i - k : i], {})
+            begun = begun or sum(seen.values()) >= sure or k == 0
+            left = {s: c for s, c in seen.items() if s not in out}
+            if not begun or not left:
                 continue
             n = sum(left.values())
             if data[i] in left:
@@ -328,7 +330,8 @@ def brute_score(train, text, depth):
     return total
 
 
-def test_trie_equals_byte_by_byte_coding():
+@pytest.mark.parametrize("sure", [1, 2, 5])
+def test_trie_equals_byte_by_byte_coding(sure):
     rng = np.random.default_rng(6)
     train = ["".join(rng.choice(["th", "e ", "er", "x"], 60)).encode() for _ in range(5)]
     for depth in (3, 5):
@@ -336,15 +339,23 @@ def test_trie_equals_byte_by_byte_coding():
         full = lm_scoring.summed(codes, np.ones(len(codes), np.int64))
         trie = lm_scoring.Trie(full, lm_scoring.summed(full[0] & 0xFFFFFF, full[1]), depth)
         for text in (b"", b"the", "".join(rng.choice(["th", "e ", "q", "é"], 30)).encode()):
-            assert trie.score(lm_scoring.contexts([text], depth)[0]).sum() == pytest.approx(brute_score(train, text, depth), rel=1e-6)
-
-
-def test_slices_give_the_same_scores(spark, sf, monkeypatch):
-    docs = table(spark, sf, "documents")
-    whole = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs).collect()}
-    monkeypatch.setattr(lm_scoring, "SLICE", 40_000)
-    for r in lm_scoring.score(docs).collect():
-        assert r["score"] == pytest.approx(whole[r["doc_id"]])
+            assert trie.score(lm_scoring.contexts([text], depth)[0], sure).sum() == pytest.approx(brute_score(train, text, depth, sure), rel=1e-6)
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 3_000, "part": 2_000, "piece": 700}])
+def test_scores_equal_brute_force(spark, sf, odd, options):
+    """Whole results of the operator, whatever the blocks and parts; the session's settings stay as they were."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    rows = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 300)).limit(40).collect()]
+    rows += [(i, t) for i, t in odd.select("doc_id", "text").collect() if len(t or "") < 1000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("own")).withColumn("train", F.lit(1))
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm_scoring.score(docs.repartition(3), **options).collect())
+    train = [lower(t).encode() for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    expected = sorted((str(i), n_words(t) + 1, brute_score(train, lower(t).encode())) for i, t in rows)
+    for a, b in zip(got, expected, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-5)
+    assert spark.conf.get(name, None) == before
 
 
 # --- quality
