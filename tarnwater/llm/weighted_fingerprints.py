@@ -6,36 +6,58 @@ for more. For each of `samples` draws a word has, from its hash and the draw's n
 draw's sample, together with t (Ioffe, 2010). Two texts agree in a sample with the probability of their weights' generalised Jaccard
 similarity, so the share of agreeing samples estimates it.
 
-Each draw keeps one 64-bit integer whose upper half orders the values and whose lower half tells word and t; the least per text
-and draw is a hash aggregate. Neighbours are found without a window over the table: quantiles of the id cut it into ranges, each
+One hash of word and draw gives all three numbers: r and c come from tables of `LEVELS` quantiles of the distribution, which costs a
+fifth of logarithms, b from the bits left. Each draw keeps one 64-bit integer whose upper half orders the values and whose lower half
+tells word and t; the least per text and draw is a hash aggregate. Neighbours are found without a window over the table: quantiles of the id cut it into ranges, each
 text moves once, to its range, and the first row of each range also goes to the range before. Words are counted and drawn
 behind that exchange, where a text's words already are, without another one.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SAMPLES, RANGES, PER_RANGE = 24, 512, 100_000
+#: Draws; ranges of ids found by quantiles, and the rows and bytes above which a range is cut further.
+SAMPLES, RANGES, PER_RANGE, BYTES = 64, 512, 100_000, 64 << 20
+#: Steps of the quantile tables: a power of two.
+LEVELS = 1024
+
+
+def gamma_quantile(p: float) -> float:
+    """The value below which a share p of Gamma(2, 1) lies: 1 - (1 + x) exp(-x) = p, by bisection."""
+    low, high = 0.0, 60.0
+    for _ in range(80):
+        x = (low + high) / 2
+        low, high = (x, high) if 1 - (1 + x) * math.exp(-x) < p else (low, x)
+    return low
+
+
+def _table(values: list[float]) -> Column:
+    """Numbers as one constant array."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def _uniform(bits: Column, low: int) -> Column:
-    """21 bits from `low` on, as a number above 0 and below 1."""
-    return (F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << 21) - 1)).cast("double") + 0.5) / float(1 << 21)
+def _tables() -> tuple[Column, Column]:
+    """r, and the logarithm of c, at the middles of LEVELS equal shares of the distribution."""
+    steps = [gamma_quantile((k + 0.5) / LEVELS) for k in range(LEVELS)]
+    return _table(steps), _table([math.log(x) for x in steps])
 
 
-def draw(word: Column, log_weight: Column, number: int) -> Column:
-    """The packed value of a word (its hash) in one draw: 32 bits that order ln a, then 32 bits of a hash of word and t."""
-    one, two = F.xxhash64(word, F.lit(2 * number)), F.xxhash64(word, F.lit(2 * number + 1))
-    r = -F.ln(_uniform(one, 0) * _uniform(one, 21))
-    log_c = F.ln(-F.ln(_uniform(two, 0) * _uniform(two, 21)))
-    b = F.shiftrightunsigned(one, 42).cast("double") / float(1 << 22)
+def draw(word: Column, log_weight: Column, number: int, tables: tuple[Column, Column]) -> Column:
+    """The packed value of a word (its hash) in one draw: 32 bits that order ln a, then 32 bits that tell word and t."""
+    bits, level = F.xxhash64(word, F.lit(number)), F.lit(LEVELS - 1).cast("long")
+    step = LEVELS.bit_length() - 1
+    r = F.get(tables[0], bits.bitwiseAND(level).cast("int"))
+    log_c = F.get(tables[1], F.shiftrightunsigned(bits, step).bitwiseAND(level).cast("int"))
+    b = F.shiftrightunsigned(bits, 32).cast("double") / float(1 << 32)
     t = F.floor(log_weight / r + b)
     # ln a lies between about -50 and 4: 24 bits after the point keep the order
     value = F.floor((log_c - r * (t.cast("double") - b) - r) * float(1 << 24)).cast("long")
-    return F.shiftleft(value, 32).bitwiseOR(F.xxhash64(word, t, F.lit(number)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.shiftleft(value, 32).bitwiseOR(word.bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def sketch(texts: DataFrame, key: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -44,17 +66,18 @@ def sketch(texts: DataFrame, key: list[str], samples: int = SAMPLES) -> DataFram
     counted = words.groupBy(*key, "word").agg(F.count("*").alias("n"))
     weight = F.col("n").cast("double") * F.char_length("word") * F.char_length("word")
     weighed = counted.select(*key, F.xxhash64("word").alias("h"), F.ln(weight).alias("w"))
-    return weighed.groupBy(*key).agg(*(F.min(draw(F.col("h"), F.col("w"), k)).alias(f"s{k}") for k in range(samples)))
+    tables = _tables()
+    return weighed.groupBy(*key).agg(*(F.min(draw(F.col("h"), F.col("w"), k, tables)).alias(f"s{k}") for k in range(samples)))
 
 
 def _ranges(rows: DataFrame) -> tuple[Column, DataFrame]:
     """The range of each id as an expression, and (first id, range before it) of each range."""
     spark = rows.sparkSession
     cuts = F.percentile_approx("id", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), F.lit(20_000))
-    n, low, high, found = rows.agg(F.count("*"), F.min("id"), F.max("id"), cuts).first()
+    n, size, low, high, found = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.min("id"), F.max("id"), cuts).first()
     bounds = sorted(set(found or []))
     edges = [low if low is not None else 0, *bounds, (high if high is not None else 0) + 1]
-    each = max(1, -(-n // (RANGES * PER_RANGE)))
+    each = max(1, -(-n // (RANGES * PER_RANGE)), -(-size // (RANGES * BYTES)))
     part = F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
     at = lambda values: F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), part + 1)
     inner = F.floor((F.col("id").cast("double") - at(edges[:-1])) / (at(edges[1:]) - at(edges[:-1])) * each) if each > 1 else F.lit(0)
@@ -69,8 +92,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next
     row, by ascending id (integers; null first, rows that share an id by a hash of the text; the first row follows the last).
-    Null texts are empty. near_* are shares of agreeing samples: 1 for two texts without words, 0 if one of two has words.
-    A fingerprint is 8 hexadecimal digits per sample, all zeros for a text without words. Other columns are not read.
+    Null texts are empty. near_* are shares of agreeing samples: 1 for two texts without words, 0 if one of two has words; their
+    standard error is at most half the root of 1 / samples. A fingerprint is 8 hexadecimal digits per sample, all zeros for a text
+    without words. Equal values in a draw, of one word in both texts by construction, count as agreement; ties between words go to
+    the lower hash. A text of any length is split whole, its distinct words in a hash table that may spill. Repeated rows give
+    repeated rows, an empty table none. Other columns are not read.
     """
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     place, heads = _ranges(rows)

@@ -277,6 +277,38 @@ def test_samples_agree_as_often_as_weights_overlap(spark):
     assert abs(np.mean(seen) - np.mean(expected)) < 0.03
 
 
+def test_quantiles_are_those_of_the_distribution():
+    for p in (0.001, 0.3, 0.5, 0.99):
+        x = weighted_fingerprints.gamma_quantile(p)
+        assert 1 - (1 + x) * math.exp(-x) == pytest.approx(p)
+    mean = np.mean([weighted_fingerprints.gamma_quantile((k + 0.5) / 4096) for k in range(4096)])
+    assert mean == pytest.approx(2, abs=0.01)
+
+
+def likeness(one, two):
+    """Generalised Jaccard similarity of two bags of words, a word weighing its count times the square of its length."""
+    x, y = (Counter(WORDS.findall(t or "")) for t in (one, two))
+    low = sum(min(x[w], y[w]) * len(w) ** 2 for w in x | y)
+    return low / sum(max(x[w], y[w]) * len(w) ** 2 for w in x | y) if x | y else 1.0
+
+
+def test_each_row_tells_its_likeness(spark, sf):
+    """near_edited and near_next of each row against the exact similarity, at the number of samples of the registered query."""
+    docs = table(spark, sf, "documents")
+    rows = {r["doc_id"]: r for r in weighted_fingerprints.fingerprints(docs).collect()}
+    texts = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    errors = []
+    for k, (i, text) in enumerate(texts):
+        after = texts[(k + 1) % len(texts)][1]
+        half = len(text) // 2
+        for name, other in (("near_edited", text[: len(text) - half] + after[:half]), ("near_next", after)):
+            exact = likeness(text, other)
+            sigma = math.sqrt(exact * (1 - exact) / weighted_fingerprints.SAMPLES)
+            assert abs(rows[i][name] - exact) <= 4.5 * sigma + 0.02
+            errors.append(rows[i][name] - exact)
+    assert abs(np.mean(errors)) < 0.01 and np.sqrt(np.mean(np.square(errors))) < 0.06
+
+
 def test_native_operator_uses_no_python(spark, odd):
     plan = weighted_fingerprints.fingerprints(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
