@@ -79,5 +79,6 @@ def kept(docs: DataFrame, decide, text_col: str = "text") -> DataFrame:
     def run(batches):
         for batch in blocks(batches, text_col):
             yield batch.filter(pa.array(decide(batch.column(text_col).to_pylist()), pa.bool_()))
+        released()
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, kept
+from .common import blocks, kept, released
 
 DIMENSIONS, SEED, UNKNOWN, LANGUAGES = 1024, 11, "und", 10_000
 #: Bound vectors and letters that a Python worker keeps ready, a byte per dimension each; others are made when they are met.
@@ -135,6 +135,7 @@ def learn(texts: DataFrame, most_at_once: int = 32, most: int = LANGUAGES) -> di
         settle()
         if sums:
             yield out()
+        released()
 
     parts = texts.where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, vector array<long>")
     totals = parts.select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
@@ -174,6 +175,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
         for batch in blocks(batches, "text"):
             found = [nearest(t, names, unit) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["id", "lang_pred", "score"])
+        released()
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, dropped, fresh, stored
+from .common import batches_of, blocks, dropped, fresh, released, stored
 from .components import components
 from .simhash import apart, shingle_hashes
 
@@ -105,6 +105,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, segments:
             columns += [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64())]
             columns += [pa.ListArray.from_arrays(ends, pa.array(codes)), parities(sets)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "k1", "k2", "s1", "s2", "n", "code", "odd"])
+        released()
 
     rows = docs.select(docs[id_col].alias("id"), *row_key(docs, id_col, text_col), docs[text_col].alias("text"))
     return rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, s1 long, s2 long, n long, code array<long>, odd array<long>")
@@ -131,6 +132,7 @@ def _marked(rows: DataFrame, held, cells: int, column: str, wanted: bool = True)
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(marks[batch.column(column).to_numpy() % cells] == wanted))
+        released()
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -157,6 +159,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, cells: int) -
                 common = len(np.intersect1d(s, of_last, assume_unique=True))
                 keep.append((OVER + UNDER) * common >= OVER * (len(s) + len(of_last)))
             yield batch.filter(pa.array(keep, pa.bool_())).select(names)
+        released()
 
     near = stored(both.select(*names, "ta", "tb").mapInArrow(check, kind), "near")
     for done in (keys, found):
@@ -186,6 +189,11 @@ def _near(pairs: DataFrame, sets: DataFrame, width: int, segments: int) -> DataF
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = 1 << 23) -> DataFrame:
     """(id, k1, k2, root) for each row of `docs`: rows of one root are connected by similarities of 0.8 or more."""
+    with batches_of(docs.sparkSession, 1000):
+        return _groups(docs, id_col, text_col, cells)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, cells: int) -> DataFrame:
     spark = docs.sparkSession
     width, segments = layout(docs.count())
     rows = stored(sketches(docs, id_col, text_col, width, segments), "sketches")

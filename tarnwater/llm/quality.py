@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, kept, stored
+from .common import blocks, kept, released, stored
 
 FEATURES = ["chars", "words", "word_length", "upper", "digits", "symbols", "stops", "exclamations", "bars", "distinct_words", "top_word", "repeated_word", "repeated_lines", "line_length", "beyond_ascii", "entropy", "longest_word", "wordless", "open_lines", "distinct_pairs"]
 
@@ -60,6 +60,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             flat = pa.array(np.array(rows, np.float32).ravel())
             ends = pa.array(np.arange(0, len(flat) + 1, len(FEATURES), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, flat)], ["id", "x"])
+        released()
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, x array<float>")
 
