@@ -41,7 +41,7 @@ AGREE = {16: 0.197, 20: 0.106, 24: 0.057, 28: 0.031}
 #: Share of bits that may differ, of a whole fingerprint and of its first 64 bits: over four deviations beyond what 0.8 leads to.
 FAR, FAR_FIRST = 0.25, 21
 #: Longs of parity bits, and the sets in a bucket from which on it is crowded.
-LONGS, CROWDED = 8, 6
+LONGS, CROWDED = 8, 4
 #: Sets that the first round checks of those that a set meets.
 NEAREST = 3
 #: Orders by which the sets of the first round are chosen.
@@ -172,12 +172,17 @@ def _distance(a: str, b: str, width: int) -> Column:
     return F.aggregate(differing, F.lit(0), lambda total, d: total + d)
 
 
+def _sized(n: str, m: str) -> Column:
+    """Whether sizes allow the similarity."""
+    return UNDER * F.least(n, m) >= OVER * F.greatest(n, m)
+
+
 def _allowed(n: str, m: str, odd: str, other: str) -> Column:
     """Whether sizes and parity bits allow the similarity: bits that differ are at most the shingles that one set alone holds."""
     bits = F.lit(0)
     for k in range(LONGS):
         bits = bits + F.bit_count(F.col(odd)[k].bitwiseXOR(F.col(other)[k]))
-    return (UNDER * F.least(n, m) >= OVER * F.greatest(n, m)) & ((OVER + UNDER) * bits <= (UNDER - OVER) * (F.col(n) + F.col(m)))
+    return _sized(n, m) & ((OVER + UNDER) * bits <= (UNDER - OVER) * (F.col(n) + F.col(m)))
 
 
 def _near(pairs: DataFrame, sets: DataFrame, width: int, segments: int) -> DataFrame:
@@ -207,12 +212,12 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, cells: int) -> DataFram
 
     # the first round: with one set of each bucket, of those that look near the nearest
     value = lambda c: F.col(c).bitwiseAND((1 << width) - 1)
-    listed = sets.select("node", "first", F.posexplode("code").alias("i", "c"))
-    listed = listed.select("node", "first", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(value("c")).alias("key")).repartition("key")
+    listed = sets.select("node", "first", "n", F.posexplode("code").alias("i", "c"))
+    listed = listed.select("node", "first", "n", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(value("c")).alias("key")).repartition("key")
     order = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)))
-    pivots = listed.groupBy("key").agg(F.min_by(F.struct("node", "first"), order).alias("p"), F.count("*").alias("n")).where("n > 1")
-    pivots = pivots.select("key", F.col("p.node").alias("b"), F.col("p.first").alias("fb"))
-    met = listed.join(pivots, "key").where((F.col("node") != F.col("b")) & near_first("first", "fb")).select(F.col("node").alias("a"), "b").distinct()
+    pivots = listed.groupBy("key").agg(F.min_by(F.struct("node", "first", "n"), order).alias("p"), F.count("*").alias("k")).where("k > 1")
+    pivots = pivots.select("key", F.col("p.node").alias("b"), F.col("p.first").alias("fb"), F.col("p.n").alias("m"))
+    met = listed.join(pivots, "key").where((F.col("node") != F.col("b")) & near_first("first", "fb") & _sized("n", "m")).select(F.col("node").alias("a"), "b").distinct()
     nearest = F.slice(F.array_sort(F.collect_list(F.struct("far", "b"))), 1, NEAREST)  # of one for each segment at most
     best = _near(met, sets, width, segments).groupBy("a").agg(nearest.alias("s")).select("a", F.explode("s").alias("s")).select("a", F.col("s.b").alias("b"))
     star = _verified(stored(best, "pairs"), sets, texts, cells)
@@ -236,7 +241,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, cells: int) -> DataFram
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & F.when(F.col("x.crowded") & F.col("y.crowded"), _allowed("x.n", "y.n", "x.odd", "y.odd")).otherwise(True)
     ends = {"a": F.least("x.node", "y.node"), "b": F.greatest("x.node", "y.node")}
     ends |= {"ra": F.when(F.col("x.node") < F.col("y.node"), F.col("x.root")).otherwise(F.col("y.root")), "rb": F.when(F.col("x.node") < F.col("y.node"), F.col("y.root")).otherwise(F.col("x.root"))}
-    more = x.join(y, meet & near_first("x.first", "y.first")).select(*(c.alias(k) for k, c in ends.items())).distinct()
+    more = x.join(y, meet & near_first("x.first", "y.first") & _sized("x.n", "y.n")).select(*(c.alias(k) for k, c in ends.items())).distinct()
     links = _verified(stored(_near(more, sets, width, segments).drop("far"), "pairs"), sets, texts, cells)
     two = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     named = known.join(two.withColumnsRenamed({"node": "root", "component": "whole"}), "root", "left").select("node", F.coalesce("whole", "root").alias("root"))
