@@ -335,7 +335,7 @@ def test_scores(spark, odd):
     assert none["score"] == pytest.approx(-3 * math.log10(256)) and none["n_known"] == 0
 
 
-def brute_score(train, text, depth=lm_scoring.DEPTH, sure=lm_scoring.SURE):
+def brute_score(train, text, depth=lm_scoring.DEPTH):
     counts = {}
     for t in train:
         data = b"\xff" * depth + t + b"\xff"
@@ -344,12 +344,10 @@ def brute_score(train, text, depth=lm_scoring.DEPTH, sure=lm_scoring.SURE):
                 counts.setdefault(data[i - k : i], Counter())[data[i]] += 1
     total, data = 0.0, b"\xff" * depth + text + b"\xff"
     for i in range(depth, len(data)):
-        out, begun = set(), False
+        out = set()
         for k in range(depth, -1, -1):
-            seen = counts.get(data[i - k : i], {})
-            begun = begun or sum(seen.values()) >= sure or k == 0
-            left = {s: c for s, c in seen.items() if s not in out}
-            if not begun or not left:
+            left = {s: c for s, c in counts.get(data[i - k : i], {}).items() if s not in out}
+            if not left:
                 continue
             n = sum(left.values())
             if data[i] in left:
@@ -362,8 +360,7 @@ def brute_score(train, text, depth=lm_scoring.DEPTH, sure=lm_scoring.SURE):
     return total
 
 
-@pytest.mark.parametrize("sure", [1, 2, 5])
-def test_trie_equals_byte_by_byte_coding(sure):
+def test_trie_equals_byte_by_byte_coding():
     rng = np.random.default_rng(6)
     train = ["".join(rng.choice(["th", "e ", "er", "x"], 60)).encode() for _ in range(5)]
     for depth in (3, 5):
@@ -371,14 +368,16 @@ def test_trie_equals_byte_by_byte_coding(sure):
         full = lm_scoring.summed(codes, np.ones(len(codes), np.int64))
         trie = lm_scoring.Trie(full, lm_scoring.summed(full[0] & 0xFFFFFF, full[1]), depth)
         for text in (b"", b"the", "".join(rng.choice(["th", "e ", "q", "é"], 30)).encode()):
-            assert trie.score(lm_scoring.contexts([text], depth)[0], sure).sum() == pytest.approx(brute_score(train, text, depth, sure), rel=1e-6)
+            assert trie.score(lm_scoring.contexts([text], depth)[0]).sum() == pytest.approx(brute_score(train, text, depth), rel=1e-6)
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 3_000, "part": 2_000, "piece": 700}])
-def test_scores_equal_brute_force(spark, sf, odd, options):
-    """Whole results of the operator, whatever the blocks and parts; the session's settings stay as they were."""
+@pytest.mark.parametrize("part, options", [(None, {}), (2_000, {"block": 700, "frequent": 50})])
+def test_scores_equal_brute_force(spark, sf, odd, part, options, monkeypatch):
+    """Whole results of the operator, whatever the blocks, slices and frequent words; the session's settings stay as they were."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name, None)
+    if part:
+        monkeypatch.setattr(lm_scoring, "SLICE", part)
     rows = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 300)).limit(40).collect()]
     rows += [(i, t) for i, t in odd.select("doc_id", "text").collect() if len(t or "") < 1000]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("own")).withColumn("train", F.lit(1))
