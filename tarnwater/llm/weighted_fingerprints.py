@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 #: Draws; ranges of ids found by quantiles, and the rows and bytes above which a range is cut further.
 SAMPLES, RANGES, PER_RANGE, BYTES = 64, 512, 100_000, 64 << 20
-#: Steps of the quantile tables: a power of two.
-LEVELS = 1024
+#: Steps of the quantile tables: a power of two. They stand in the plan as constants, for each draw anew, so they must be short.
+LEVELS = 128
 
 
 def gamma_quantile(p: float) -> float:
@@ -38,7 +38,7 @@ def gamma_quantile(p: float) -> float:
 
 def _table(values: list[float]) -> Column:
     """Numbers as one constant array."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{x:.7g}" for x in values)), ",").cast("array<double>")
 
 
 def _tables() -> tuple[Column, Column]:
