@@ -14,7 +14,8 @@ Large groups would still be compared pair by pair. So a first, linear round comp
 segment only, the three nearest of which are checked; the full search then compares sets of different groups of that round, and a
 bucket's largest group isn't compared with itself. Links left out join sets which are connected already. Many sets that are
 somewhat alike, but not enough, would meet in crowded buckets again and again: there 512 parity bits of the sets, which bound the
-similarity from above, are compared inside the join.
+similarity from above, are compared inside the join. Rows carry the values of the first segments (eight of 16 bits), whose distance is
+verified there too; two sets that agree in one of these aren't listed again by later segments.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ OVER, UNDER = 4, 5
 MISS = 0.005
 #: Share of segments of a width that agree but for the two weakest bits, at a similarity of 0.8 (simulated, normal model).
 AGREE = {16: 0.197, 20: 0.106, 24: 0.057, 28: 0.031}
-#: Share of bits that may differ, of a whole fingerprint and of its first 64 bits: over four deviations beyond what 0.8 leads to.
-FAR, FAR_FIRST = 0.25, 21
+#: Share of bits that may differ, of a whole fingerprint, of its first 64 and its first 128 bits: about four deviations or more beyond
+#: what 0.8 leads to.
+FAR, FAR_FIRST, FAR_BOTH = 0.25, 21, 38
 #: Longs of parity bits, and the sets in a bucket from which on it is crowded.
 LONGS, CROWDED = 8, 4
 #: Sets that the first round checks of those that a set meets.
@@ -185,6 +187,26 @@ def _allowed(n: str, m: str, odd: str, other: str) -> Column:
     return _sized(n, m) & ((OVER + UNDER) * bits <= (UNDER - OVER) * (F.col(n) + F.col(m)))
 
 
+def _head(width: int, at: int) -> Column:
+    """The values of the segments from `at` on, as many as a long holds."""
+    mask = F.lit((1 << width) - 1)
+    bits = F.col("code")[at].bitwiseAND(mask)
+    for k in range(1, 64 // width):
+        bits = bits.bitwiseOR(F.shiftleft(F.col("code")[at + k].bitwiseAND(mask), k * width))
+    return bits
+
+
+def _met_before(width: int) -> Column:
+    """Whether x and y, which meet in segment x.i, have the value of an earlier segment in common that `first` or `second` holds, so
+    that they have met there."""
+    out, each = F.lit(False), 64 // width
+    for k in range(2 * each):
+        differing = F.col("x.first").bitwiseXOR(F.col("y.first")) if k < each else F.col("x.second").bitwiseXOR(F.col("y.second"))
+        same = F.shiftright(differing, k % each * width).bitwiseAND(F.lit((1 << width) - 1)) == 0
+        out = out | ((F.col("x.i") > k) & same)
+    return out
+
+
 def _near(pairs: DataFrame, sets: DataFrame, width: int, segments: int) -> DataFrame:
     """The rows of `pairs` whose sizes, complete distances and parity bits allow the similarity, with the distance `far`."""
     one, two = (sets.select(F.col("node").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ("n", "code", "odd"))) for e in "ab")
@@ -202,11 +224,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, cells: int) -> DataFram
     spark = docs.sparkSession
     width, segments = layout(docs.count())
     rows = stored(sketches(docs, id_col, text_col, width, segments), "sketches")
-    first_bits = F.col("code")[0].bitwiseAND((1 << width) - 1)
-    for k in range(1, 64 // width):
-        first_bits = first_bits.bitwiseOR(F.shiftleft(F.col("code")[k].bitwiseAND((1 << width) - 1), k * width))
-    single = rows.dropDuplicates(["s1", "s2"]).withColumn("node", F.monotonically_increasing_id()).withColumn("first", first_bits)
-    sets = stored(single, "sets")
+    single = rows.dropDuplicates(["s1", "s2"]).withColumn("node", F.monotonically_increasing_id())
+    sets = stored(single.withColumns({"first": _head(width, 0), "second": _head(width, 64 // width)}), "sets")
     texts = docs.select(*row_key(docs, id_col, text_col), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     near_first = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= FAR_FIRST
 
@@ -223,16 +242,17 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, cells: int) -> DataFram
     star = _verified(stored(best, "pairs"), sets, texts, cells)
     one = stored(components(star), "groups")
 
-    known = sets.join(one, "node", "left").select("node", "n", "first", "code", "odd", F.coalesce("component", "node").alias("root"))
+    known = sets.join(one, "node", "left").select("node", "n", "first", "second", "code", "odd", F.coalesce("component", "node").alias("root"))
     known = stored(known.withColumn("class", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(UNDER / OVER)).cast("long")), "roots")
-    spots = known.select("node", "root", "first", "n", "odd", "class", F.posexplode("code").alias("i", "c"))
+    carried = ("node", "root", "first", "second", "n", "odd")
+    spots = known.select(*carried, "class", F.posexplode("code").alias("i", "c"))
     spots = spots.withColumn("i", F.col("i").cast("long"))
     key = lambda cls, v: F.shiftleft(cls, 40).bitwiseOR(F.shiftleft(F.col("i"), 32)).bitwiseOR(v)
     flips = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("c", at).bitwiseAND(255).cast("int")) for at in (32, 40)]
     ball = F.array(value("c"), value("c").bitwiseXOR(flips[0]), value("c").bitwiseXOR(flips[1]), value("c").bitwiseXOR(flips[0]).bitwiseXOR(flips[1]))
     # a set asks for sets of its own size class and the next
-    asks = spots.select("node", "root", "first", "n", "odd", F.explode(F.transform(ball, lambda v: key(F.col("class"), v))).alias("key"))
-    haves = spots.select("node", "root", "first", "n", "odd", F.explode(F.array(key(F.col("class"), value("c")), key(F.col("class") - 1, value("c")))).alias("key"))
+    asks = spots.select(*carried, "i", F.explode(F.transform(ball, lambda v: key(F.col("class"), v))).alias("key"))
+    haves = spots.select(*carried, F.explode(F.array(key(F.col("class"), value("c")), key(F.col("class") - 1, value("c")))).alias("key"))
     # some dozen size classes share the values of a segment: well above what chance brings together
     crowd = max(CROWDED, known.count() >> width)
     asks, haves = apart(asks, haves, spots.select("root", F.explode(F.array(key(F.col("class"), value("c")), key(F.col("class") - 1, value("c")))).alias("key")), crowd)
@@ -241,7 +261,9 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, cells: int) -> DataFram
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & F.when(F.col("x.crowded") & F.col("y.crowded"), _allowed("x.n", "y.n", "x.odd", "y.odd")).otherwise(True)
     ends = {"a": F.least("x.node", "y.node"), "b": F.greatest("x.node", "y.node")}
     ends |= {"ra": F.when(F.col("x.node") < F.col("y.node"), F.col("x.root")).otherwise(F.col("y.root")), "rb": F.when(F.col("x.node") < F.col("y.node"), F.col("y.root")).otherwise(F.col("x.root"))}
-    more = x.join(y, meet & near_first("x.first", "y.first") & _sized("x.n", "y.n")).select(*(c.alias(k) for k, c in ends.items())).distinct()
+    far = F.bit_count(F.col("x.first").bitwiseXOR(F.col("y.first"))) + F.bit_count(F.col("x.second").bitwiseXOR(F.col("y.second")))
+    meet = meet & near_first("x.first", "y.first") & (far <= FAR_BOTH) & ~_met_before(width) & _sized("x.n", "y.n")
+    more = x.join(y, meet).select(*(c.alias(k) for k, c in ends.items())).distinct()
     links = _verified(stored(_near(more, sets, width, segments).drop("far"), "pairs"), sets, texts, cells)
     two = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     named = known.join(two.withColumnsRenamed({"node": "root", "component": "whole"}), "root", "left").select("node", F.coalesce("whole", "root").alias("root"))
