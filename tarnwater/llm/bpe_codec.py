@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import blocks
+from .common import blocks, released
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,6 +24,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             ids = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), ids)], ["id", "ids"])
+        released()
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -70,6 +71,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 ids.append(of_ids.hexdigest())
                 texts.append(of_text.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        released()
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

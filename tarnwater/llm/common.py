@@ -35,15 +35,17 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While this lasts, texts go to Python in batches of so many rows: for operators that hold tables beside them."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(name, None)
-    spark.conf.set(name, str(rows))
+def batches_of(spark: SparkSession, rows: int, size: int = 8 << 20) -> Iterator[None]:
+    """While this lasts, texts go to Python in batches of so many rows and bytes (or one row): for operators that hold tables beside them."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    was = {name: spark.conf.get(name, None) for name in bounds}
+    for name, most in bounds.items():
+        spark.conf.set(name, str(most))
     try:
         yield
     finally:
-        spark.conf.set(name, was) if was is not None else spark.conf.unset(name)
+        for name, old in was.items():
+            spark.conf.set(name, old) if old is not None else spark.conf.unset(name)
 
 
 def released() -> None:
