@@ -45,6 +45,37 @@ def complete_groups(assets: DataFrame, key: str = "granule", asset: str = "layer
     return assets.groupBy(key).agg(F.count_distinct(asset).alias("n_assets")).where(F.col("n_assets") == n)
 
 
+def dependent_layers(assets: DataFrame, key: str = "granule", asset: str = "layer", leading: str = "WTR") -> DataFrame:
+    """Assets of granules that have the leading layer; the others are of no use without it."""
+    return assets.join(assets.where(F.col(asset) == leading).select(key).distinct(), key, "left_semi")
+
+
+def raster_links(links: DataFrame, key: str = "granule", url: str = "url", pos: str = "pos", grid: str = "100m") -> DataFrame:
+    """(key, url): the first link of each granule to a NetCDF file of a grid, of equal places the lesser."""
+    hits = links.where(F.col(url).contains(grid) & F.lower(url).endswith(".nc"))
+    return hits.groupBy(key).agg(F.min(F.struct(pos, url))[url].alias(url))
+
+
+def all_dates(*tables: DataFrame, day: str = "obs_date") -> DataFrame:
+    """The distinct dates of any of the tables."""
+    found = tables[0].select(day).distinct()
+    for more in tables[1:]:
+        found = found.union(more.select(day).distinct())
+    return found.distinct()
+
+
+def in_crs(grids: DataFrame, epsg: int = 4326) -> DataFrame:
+    """Rasters of one reference system; others are skipped."""
+    return grids.where(F.col("epsg") == epsg)
+
+
+def same(grids: DataFrame, columns: Sequence[str] = ("epsg",)) -> None:
+    """An error unless all rasters agree in the columns: the reference system, or with width, height, a, c, e, f the whole grid."""
+    found = grids.select(*columns).distinct().limit(2).collect()
+    if len(found) > 1:
+        raise ValueError(f"rasters differ in {', '.join(columns)}: {found[0]} and {found[1]}")
+
+
 def missing(wanted: DataFrame, present: DataFrame, on: Sequence[str]) -> DataFrame:
     """What isn't there yet."""
     return wanted.join(present.select(*on).distinct(), list(on), "left_anti")

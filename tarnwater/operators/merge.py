@@ -62,3 +62,35 @@ def difference(later: DataFrame, earlier: DataFrame, keys: Sequence[str], nodata
     """later - earlier where both cover a cell with data."""
     a, b = later.select(*keys, F.col(value).alias("_a")), earlier.select(*keys, F.col(value).alias("_b"))
     return a.join(b, list(keys)).where((F.col("_a") != nodata) & (F.col("_b") != nodata)).select(*keys, (F.col("_a") - F.col("_b")).alias("change"))
+
+
+def common_grid(one: dict[str, float], two: dict[str, float]) -> dict[str, float]:
+    """The intersection of two grids (width, height, a, c, e, f) at the finer resolution."""
+    ends = [(g["c"], g["f"] + g["height"] * g["e"], g["c"] + g["width"] * g["a"], g["f"]) for g in (one, two)]
+    left, bottom = (max(e[k] for e in ends) for k in (0, 1))
+    right, top = (min(e[k] for e in ends) for k in (2, 3))
+    if left >= right or bottom >= top:
+        raise ValueError("the rasters don't overlap")
+    width = round((right - left) / min(one["a"], two["a"]))
+    height = round((top - bottom) / min(-one["e"], -two["e"]))
+    return {"width": width, "height": height, "a": (right - left) / width, "c": left, "e": (bottom - top) / height, "f": top}
+
+
+def onto(cells: DataFrame, grid: dict, target: dict[str, float]) -> DataFrame:
+    """Cells (row_i, col_i, ...) of a grid on a target grid, each target cell with the value at its centre. No shuffle: a cell lists the centres inside it. `grid` may hold columns."""
+
+    def inside(index: str, first: str, step: str, size: str):
+        ratio, start = F.lit(grid[step] / target[step]), F.lit((grid[first] - target[first]) / target[step])
+        edge = lambda k: F.ceil(start + k * ratio - 0.5)
+        low, high = F.greatest(F.lit(0), edge(F.col(index))), F.least(F.lit(target[size] - 1), edge(F.col(index) + 1) - 1)
+        return F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    wide = cells.withColumns({"row_i": inside("row_i", "f", "e", "height"), "col_i": inside("col_i", "c", "a", "width")})
+    return wide.withColumn("row_i", F.explode("row_i")).withColumn("col_i", F.explode("col_i"))
+
+
+def aligned_difference(later: DataFrame, earlier: DataFrame, grid_later: dict[str, float], grid_earlier: dict[str, float], value: str = "value") -> DataFrame:
+    """(row_i, col_i, change): later - earlier on their common grid."""
+    target = common_grid(grid_later, grid_earlier)
+    a, b = (onto(rows.select("row_i", "col_i", F.col(value).alias(name)), grid, target) for rows, grid, name in ((later, grid_later, "_a"), (earlier, grid_earlier, "_b")))
+    return a.join(b, ["row_i", "col_i"]).select("row_i", "col_i", (F.col("_a") - F.col("_b")).alias("change"))

@@ -4,15 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import month_key
 from ..model import CELL, INTR, CleanParams, MonthlyParams, Product, SeriesParams, StatisticsParams
-from ..operators import clean, merge, metrics, monthly, series, statistics
+from ..operators import catalog, clean, merge, metrics, monthly, series, statistics
+from ..sources import geotiff
 from ..storage import stored
 
 
+def scenes_of_files(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float], DataFrame]:
+    """(scenes, grid, rejects) of the GeoTIFF files below a path that have a date in their names.
+
+    Scenes are (row_i, col_i, obs_date, file_pos, cls) of each file's first band, file_pos the path. Files of one
+    reference system may differ in extent and resolution: all are put on the outermost bounds at the finest resolution.
+    Files that can't be read are rejects (path, error); different reference systems are an error.
+    """
+    found = stored(geotiff.grids(spark, path), "grids")
+    good = catalog.dated(found.where("error is null"))
+    catalog.same(good)
+    ends = good.agg(F.min("c"), F.max("f"), F.max(F.col("c") + F.col("width") * F.col("a")), F.min(F.col("f") + F.col("height") * F.col("e")), F.min("a"), F.min(-F.col("e"))).first()
+    if ends[0] is None:
+        raise ValueError(f"no readable files with a date and a grid at {path}")
+    left, top, right, bottom, dx, dy = ends
+    grid = {"width": round((right - left) / dx), "height": round((top - bottom) / dy), "a": dx, "c": left, "e": -dy, "f": top}
+    cells, _ = geotiff.split(geotiff.cells(spark, path, "report"))
+    cells = cells.where("band = 1").withColumn("cls", F.col("value").cast("int")).join(good.select("path", "obs_date", *"acef"), "path")
+    cells = merge.onto(cells, {k: F.col(k) for k in "acef"}, grid)
+    return cells.select("row_i", "col_i", "obs_date", F.col("path").alias("file_pos"), "cls"), grid, found.where("error is not null").select("path", "error")
+
+
 def daily(scenes: DataFrame, product: Product = INTR, keys: Sequence[str] = CELL, order: str = "file_pos") -> DataFrame:
     """Daily mosaics of a product, with their month."""
     return merge.priority_merge(scenes, [*keys, "obs_date"], product, order).withColumn("month_key", month_key(F.col("obs_date")))

@@ -719,6 +719,40 @@ def asset_having(s, d):
     return catalog.complete_groups(catalog.layers(view(s, d, "v_file")))
 
 
+@query("SELECT granule_id, path FROM v_file WHERE granule IN (SELECT granule FROM v_file WHERE contains(path, '_WTR.'))")
+def dependent_layers(s, d):
+    return catalog.dependent_layers(catalog.layers(view(s, d, "v_file"))).select("granule_id", "path")
+
+
+@query("""SELECT l_orderkey, url FROM (SELECT l_orderkey, url, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, url) AS k FROM (SELECT l_orderkey, l_linenumber, CONCAT('/SWOT_', CASE WHEN l_suppkey % 2 = 0 THEN '100m_' ELSE '250m_' END,
+  CAST(l_partkey AS VARCHAR), CASE l_partkey % 3 WHEN 0 THEN '.nc' WHEN 1 THEN '.NC' ELSE '.md5' END) AS url FROM lineitem) t
+WHERE contains(url, '100m') AND lower(url) LIKE '%.nc') u WHERE k = 1""")
+def raster_links(s, d):
+    size = F.when(F.col("l_suppkey") % 2 == 0, "100m_").otherwise("250m_")
+    kind = F.when(F.col("l_partkey") % 3 == 0, ".nc").when(F.col("l_partkey") % 3 == 1, ".NC").otherwise(".md5")
+    url = F.concat(F.lit("/SWOT_"), size, F.col("l_partkey").cast("string"), kind).alias("url")
+    links = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", url)
+    return catalog.raster_links(links, "l_orderkey", pos="l_linenumber")
+
+
+@query("SELECT CAST(o_orderdate AS DATE) AS obs_date FROM orders UNION SELECT CAST(l_shipdate AS DATE) FROM lineitem UNION SELECT CAST(ts AS DATE) FROM events")
+def all_dates(s, d):
+    named = (("orders", "o_orderdate"), ("lineitem", "l_shipdate"), ("events", "ts"))
+    return catalog.all_dates(*(s.read.parquet(f"{d}/{t}.parquet").select(F.col(c).cast("date").alias("obs_date")) for t, c in named))
+
+
+@query("""SELECT o.row_i - 4 AS row_i, o.col_i - 3 AS col_i, n.elev - o.elev AS change FROM v_dem o
+JOIN v_dem n ON n.row_i = CAST(floor((o.row_i - 4 + 0.5) / 2.5) AS INT) AND n.col_i = CAST(floor((o.col_i - 3 + 0.5) / 2.5) AS INT)
+WHERE o.row_i >= 4 AND o.col_i >= 3""")
+def aligned_difference(s, d):
+    """A raster against one of coarser cells that begins three cells to the right and four below."""
+    dem = view(s, d, "v_dem")
+    height = dem.agg(F.max("row_i")).first()[0] + 1
+    fine = {"width": 10, "height": height, "a": 1.0, "c": 0.0, "e": -1.0, "f": 0.0}
+    coarse = fine | {"a": 2.5, "c": 3.0, "e": -2.5, "f": -4.0}
+    return merge.aligned_difference(dem, dem, coarse, fine, "elev")
+
+
 @query("SELECT granule_id, path FROM v_file WHERE granule_id NOT IN (SELECT granule_id FROM v_file WHERE length % 3 = 0)")
 def skip_existing(s, d):
     files = view(s, d, "v_file")

@@ -186,7 +186,7 @@ def test_geotiff_round_trip(spark, tmp_path):
     grid = {"a": 30.0, "c": 1000.0, "e": -30.0, "f": 5000.0, "nodata": 3}
     data = geotiff.encode(band, grid)
     back, found = geotiff.decode(data)
-    assert (back == band).all() and found["a"] == 30.0 and found["f"] == 5000.0 and found["nodata"] == 3
+    assert (back[0] == band).all() and found["a"] == 30.0 and found["f"] == 5000.0 and found["nodata"] == 3
     (tmp_path / "a.tif").write_bytes(data)
     geotiff.register(spark)
     rows = spark.read.format("geotiff").load(str(tmp_path)).collect()
