@@ -21,7 +21,7 @@ from itertools import islice
 import numpy as np
 import regex
 
-from .common import read_local
+from .common import MEMOS, read_local
 
 #: Fixed value: the published splitting pattern of this family of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -144,7 +144,7 @@ def lookahead(ranks: dict[tuple[bytes, bytes], int]) -> int:
 class Encoder(dict):
     """piece -> its ids as little-endian 32-bit integers. A bounded memo; missing pieces are merged when first asked for."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 50_000, ahead: int | None = None):
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000, ahead: int | None = None):
         super().__init__()
         self.ranks, self.ids, self.most = vocabulary.ranks, vocabulary.ids, most
         self.packed = {k: v.to_bytes(4, "little") for k, v in self.ids.items()}
@@ -240,6 +240,7 @@ class Decoder:
 
 
 _READY: dict[int, tuple[Vocabulary, Encoder]] = {}
+MEMOS.append(_READY)
 
 
 def ready(source: str, differ: dict[str, str]) -> tuple[Vocabulary, Encoder]:

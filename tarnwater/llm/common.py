@@ -48,6 +48,17 @@ def batches_of(spark: SparkSession, rows: int, size: int = 8 << 20) -> Iterator[
             spark.conf.set(name, old) if old is not None else spark.conf.unset(name)
 
 
+#: What this Python worker keeps from task to task and can build again.
+MEMOS: list[dict] = []
+
+
+def forgotten() -> None:
+    """Drop what earlier operators left in this worker: for operators that need the room themselves."""
+    for memo in MEMOS:
+        memo.clear()
+    released()
+
+
 def released() -> None:
     """Give freed memory back to the system: workers live on after a task, beside those of other tasks."""
     pa.default_memory_pool().release_unused()

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, blocks, dropped, fresh, released, stored
+from .common import batches_of, blocks, dropped, forgotten, fresh, released, stored
 from .components import components
 from .simhash import apart, shingle_hashes
 
@@ -98,6 +98,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, segments:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        forgotten()
         for batch in blocks(batches, "text"):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
