@@ -12,6 +12,9 @@ shorter ones (at most 2**24 counts, whatever is read) are in each. The number of
 is broadcast and scored at a time, and a text's score is the sum over slices. One slice holds about `SLICE` counts, and
 can't hold more than that and 2**24 with depth five.
 
+Each Python worker holds the slice's trie: some 35 bytes a count. The driver sends sorted counts, which the trie keeps as its own
+deepest level; it is built, and asked, for `PIECE` counts at a time, so neither takes much more than what stays.
+
 Words for the baseline have no such bound. Their counts are summed before the shuffle and stay a distributed table. Words
 too frequent to be joined cheaply, of which there are `frequent` at most, are broadcast and looked up where the text is read, so
 they never form hot keys; only the rarer words of each text are joined to the table.
@@ -24,13 +27,15 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, blocks, released, stored
+from .common import MEMOS, batches_of, blocks, forgotten, released, stored
 
-DEPTH, SLICE, GATHERED, EDGE = 5, 4_000_000, 1_000_000, b"\xff"
+DEPTH, SLICE, GATHERED, EDGE, PIECE = 5, 4_000_000, 1_000_000, b"\xff", 1 << 17
 _MODEL: dict[str, Trie] = {}
+MEMOS.append(_MODEL)
 
 
 def contexts(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -40,18 +45,43 @@ def contexts(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.nda
     starts = np.cumsum(sizes) - sizes
     keep = np.ones(len(data), bool)
     keep[(starts[:, None] + np.arange(depth)).ravel()] = False
-    code = data.astype(np.int64)
+    code, shifted = data.astype(np.int64), np.empty(len(data), np.int64)
     for k in range(1, depth + 1):
-        code[k:] |= data[:-k].astype(np.int64) << (8 * k)
+        code[k:] |= np.left_shift(data[:-k], 8 * k, out=shifted[k:], dtype=np.int64)
+    del shifted
     return code[keep], np.cumsum(sizes - depth)
 
 
 def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order, and the sums of their counts."""
+    """Distinct codes in order, and the sums of their counts; what is that already is returned as it is."""
+    if (codes[1:] > codes[:-1]).all():
+        return codes, counts
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+    first = _changes(codes, 0)
+    return codes[first], np.add.reduceat(counts, first, dtype=np.int64)
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits if they all fit."""
+    return counts.astype(np.uint32) if not len(counts) or counts.max() < 1 << 32 else counts
+
+
+def _changes(codes: np.ndarray, shift: int) -> np.ndarray:
+    """Where runs of equal codes, but for their last `shift` bits, begin."""
+    new = np.ones(len(codes), bool)
+    for a in range(1, len(codes), PIECE):
+        b = min(a + PIECE, len(codes))
+        new[a:b] = codes[a:b] >> shift != codes[a - 1 : b - 1] >> shift
+    return np.flatnonzero(new)
+
+
+def _shortened(codes: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts behind contexts of `depth` bytes, of counts behind longer ones."""
+    out, mask, most = (np.zeros(0, np.int64), np.zeros(0, np.int64)), (1 << (8 * (depth + 1))) - 1, 4 * PIECE
+    for a in range(0, len(codes), most):
+        out = summed(np.concatenate([out[0], codes[a : a + most] & mask]), np.concatenate([out[1], counts[a : a + most]]))
+    return out
 
 
 class Trie:
@@ -70,56 +100,72 @@ class Trie:
             if k == min(least - 1, depth):
                 now = summed(*short)
             self.cells[k] = now
-            now = summed(now[0] & ((1 << (8 * k)) - 1), now[1])
+            now = _shortened(*now, k - 1) if k else now
         for k in range(depth + 1):
             codes, counts = self.cells[k]
-            first = np.flatnonzero(np.concatenate([[True], (codes[1:] >> 8) != (codes[:-1] >> 8)])) if len(codes) else np.zeros(0, np.int64)
-            n = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
-            d = np.diff(np.append(first, len(codes)))
-            m, e = np.zeros(len(first)), np.zeros(len(first))
-            if k and len(first):
-                own = codes[first] >> 8
-                shorter = own & ((1 << (8 * (k - 1))) - 1)
-                at = np.searchsorted(self.nodes[k - 1][0], shorter)
-                there = np.searchsorted(self.cells[k - 1][0], codes & ((1 << (8 * k)) - 1))
-                gone = np.add.reduceat(self.cells[k - 1][1][there], first)
-                m, e = self.nodes[k - 1][1][at] - gone, self.nodes[k - 1][2][at] - d
-            self.nodes[k] = (codes[first] >> 8, n.astype(np.float64), d.astype(np.float64), m, e)
+            first = _changes(codes, 8)
+            n = np.add.reduceat(counts, first, dtype=np.float64) if len(first) else np.zeros(0)
+            ends = np.append(first, len(codes))
+            own, d = codes[first] >> 8, np.diff(ends).astype(np.int16)
+            m, e = np.zeros(len(first)), np.zeros(len(first), np.int16)
+            for a in range(0, len(first) if k else 0, PIECE):
+                b = min(a + PIECE, len(first))
+                at = np.searchsorted(self.nodes[k - 1][0], own[a:b] & ((1 << (8 * (k - 1))) - 1))
+                there = np.searchsorted(self.cells[k - 1][0], codes[ends[a] : ends[b]] & ((1 << (8 * k)) - 1))
+                gone = np.add.reduceat(self.cells[k - 1][1][there], first[a:b] - first[a], dtype=np.int64)
+                m[a:b], e[a:b] = self.nodes[k - 1][1][at] - gone, self.nodes[k - 1][2][at] - d[a:b]
+            self.nodes[k] = (own, n, d, m, e)
         self._hash()
 
     def _hash(self) -> None:
-        """Open addressing over the full-depth cells: nearly all predictions end there."""
+        """Open addressing over the places of the full-depth cells: nearly all predictions end there."""
         codes, counts = self.cells[self.depth]
-        _, n, d, _, _ = self.nodes[self.depth]
-        each = np.repeat(np.arange(len(n)), d.astype(np.int64))
-        value = (np.log10(counts - 0.5) - np.log10(n)[each]).astype(np.float32) if len(codes) else np.zeros(0, np.float32)
+        own, n, _, _, _ = self.nodes[self.depth]
         self.bits = max(4, int(np.ceil(np.log2(2 * len(codes) + 1))))
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        todo, slot = np.arange(len(codes)), self._slot(codes)
-        while len(todo):
-            free = self.keys[slot] < 0
-            self.keys[slot[free]] = codes[todo[free]]
-            won = self.keys[slot] == codes[todo]
-            self.values[slot[won]] = value[todo[won]]
-            todo, slot = todo[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+        self.places, self.values = np.full(1 << self.bits, -1, np.int32), np.zeros(len(codes), np.float32)
+        for a in range(0, len(codes), PIECE):
+            part = codes[a : a + PIECE]
+            self.values[a : a + PIECE] = np.log10(counts[a : a + PIECE] - 0.5) - np.log10(n[np.searchsorted(own, part >> 8)])
+            todo, slot = np.arange(a, a + len(part)), self._slot(part)
+            while len(todo):
+                free = self.places[slot] < 0
+                self.places[slot[free]] = todo[free]
+                lost = self.places[slot] != todo
+                todo, slot = todo[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each prediction."""
+    def score(self, codes: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each prediction; with `inside`, a bit for each three bytes, 0 for contexts whose last three have none."""
+        out = np.zeros(len(codes))
+        for a in range(0, len(codes), PIECE):
+            part = codes[a : a + PIECE]
+            if inside is None:
+                out[a : a + PIECE] = self._score(part)
+                continue
+            last = part >> 8 & 0xFFFFFF
+            here = np.flatnonzero(inside[last >> 3] >> (7 - (last & 7)).astype(np.uint8) & 1)
+            out[a + here] = self._score(part[here])
+        return out
+
+    def _score(self, codes: np.ndarray) -> np.ndarray:
+        known = self.cells[self.depth][0]
+        if not len(known):
+            return self._escape(codes)
         slot = self._slot(codes)
-        key = self.keys[slot]
-        out = self.values[slot].astype(np.float64)
-        todo = np.flatnonzero(key != codes)
-        at, lost = slot[todo], []
+        place = self.places[slot]
+        hit = (known[place] == codes) & (place >= 0)
+        out = self.values[place].astype(np.float64)
+        todo, lost = np.flatnonzero(~hit), []
+        place, at = place[todo], slot[todo]
         while len(todo):
-            key = self.keys[at]
-            hit = key == codes[todo]
-            out[todo[hit]] = self.values[at[hit]]
-            lost.append(todo[key < 0])
-            more = ~hit & (key >= 0)
-            todo, at = todo[more], (at[more] + 1) & ((1 << self.bits) - 1)
+            lost.append(todo[place < 0])
+            todo, at = todo[place >= 0], (at[place >= 0] + 1) & ((1 << self.bits) - 1)
+            place = self.places[at]
+            hit = (known[place] == codes[todo]) & (place >= 0)
+            out[todo[hit]] = self.values[place[hit]]
+            todo, at, place = todo[~hit], at[~hit], place[~hit]
         if lost and len(rest := np.concatenate(lost)):
             distinct, back = np.unique(codes[rest], return_inverse=True)
             out[rest] = self._escape(distinct)[back]
@@ -149,6 +195,15 @@ class Trie:
         return out
 
 
+def _ready(mark: str, shared: Broadcast) -> Trie:
+    """The marked trie, built once in each worker: a nested function would bring a copy of _MODEL with every task."""
+    if mark not in _MODEL:
+        forgotten()
+        _MODEL[mark] = Trie(*shared.value)
+        released()
+    return _MODEL[mark]
+
+
 def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Row, dictionary and place in it of each word of lower-cased texts."""
     split = pc.ascii_split_whitespace(texts)
@@ -183,6 +238,7 @@ def _score(docs: DataFrame, id_col: str, text_col: str, frequent: int, block: in
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     def gather(batches):
+        forgotten()
         kept: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out():
@@ -202,6 +258,12 @@ def _score(docs: DataFrame, id_col: str, text_col: str, frequent: int, block: in
             yield out()
         released()
 
+    def sent(part: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted codes and their counts, as workers get them."""
+        part = part.toArrow()
+        codes, counts = summed(part.column("code").to_numpy(), part.column("n").to_numpy())
+        return codes, narrow(counts)
+
     counted = stored(rows.where(_fold(F.col("id")) != 2).mapInArrow(gather, "word string, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n")), "counts")
     cells, words = counted.where("code is not null").select("code", "n"), counted.where("word is not null").select("word", "n")
     ends = int((counted.where("word is null and code is null").agg(F.sum("n")).first()[0]) or 0)
@@ -214,7 +276,7 @@ def _score(docs: DataFrame, id_col: str, text_col: str, frequent: int, block: in
         least, held = 1 << k, held + n
     common = words.where(F.col("n") >= least).toArrow()
     known_words = spark.sparkContext.broadcast((common.column("word").combine_chunks(), common.column("n").to_numpy()))
-    short = cells.groupBy((F.col("code").bitwiseAND(F.lit(0xFFFFFF))).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    short = sent(cells.groupBy((F.col("code").bitwiseAND(F.lit(0xFFFFFF))).alias("code")).agg(F.sum("n").alias("n")))
     slices = max(1, -(-cells.count() // SLICE))
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     if slices > 1:
@@ -225,9 +287,7 @@ def _score(docs: DataFrame, id_col: str, text_col: str, frequent: int, block: in
 
     def scored(number: int) -> DataFrame:
         """Of each row its score by the slice's contexts; with the first slice also its words."""
-        own = (cells.where(slice_of(F.col("code")) == number) if slices > 1 else cells).toArrow()
-        tables = [(t.column("code").to_numpy(), t.column("n").to_numpy()) for t in (own, short)]
-        shared = spark.sparkContext.broadcast(tables)
+        shared = spark.sparkContext.broadcast((sent(cells.where(slice_of(F.col("code")) == number) if slices > 1 else cells), short))
         # which of all last three bytes belong to the slice: a bit each
         mine = None
         if slices > 1:
@@ -238,19 +298,13 @@ def _score(docs: DataFrame, id_col: str, text_col: str, frequent: int, block: in
         mark = uuid.uuid4().hex
 
         def evaluate(batches):
-            if mark not in _MODEL:
-                _MODEL.clear()
-                _MODEL[mark] = Trie(*shared.value)
-            trie, inside = _MODEL[mark], None if mine is None else np.unpackbits(mine.value).astype(bool)
-            known, times = known_words.value
+            trie = _ready(mark, shared)
+            known, times = known_words.value if not number else (None, np.zeros(0))
             worth = np.log10(times + 1.0)
             for batch in blocks(batches, "text", block):
                 texts, n = _lower(batch), batch.num_rows
                 code, upto = contexts([t.encode() for t in texts.to_pylist()])
-                gains = trie.score(code) if inside is None else np.zeros(len(code))
-                if inside is not None:
-                    here = np.flatnonzero(inside[code >> 8 & 0xFFFFFF])
-                    gains[here] = trie.score(code[here])
+                gains = trie.score(code, None if mine is None else mine.value)
                 sums = pa.array(np.add.reduceat(gains, np.concatenate([[0], upto[:-1]])))
                 if number:
                     yield pa.RecordBatch.from_arrays([batch.column("row"), sums], ["row", "score"])
@@ -268,10 +322,15 @@ def _score(docs: DataFrame, id_col: str, text_col: str, frequent: int, block: in
             released()
 
         more = f", id {kind}, words long, sure long, base double, rare array<struct<word: string, n: int>>" if not number else ""
-        return stored(numbered.mapInArrow(evaluate, f"row long, score double{more}"), "parts")
+        done = stored(numbered.mapInArrow(evaluate, f"row long, score double{more}"), "parts")
+        for table in (shared, mine):
+            if table is not None:
+                table.destroy()
+        return done
 
     parts = scored(0)
     others = [scored(k) for k in range(1, slices)]
+    known_words.destroy()
     rare = parts.select("row", F.explode("rare").alias("w")).select("row", F.col("w.word").alias("word"), F.col("w.n").alias("times"))
     joined = rare.join(words.where(F.col("n") < least), "word")
     sums = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("more"), F.sum("times").alias("also"))

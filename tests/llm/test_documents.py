@@ -2,16 +2,18 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tarnwater.llm import language_id, lm_scoring, mixing, quality, simhash, weighted_fingerprints
-from tarnwater.llm.common import table
+from tarnwater.llm.common import forgotten, table
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -371,6 +373,39 @@ def test_trie_equals_byte_by_byte_coding():
             assert trie.score(lm_scoring.contexts([text], depth)[0]).sum() == pytest.approx(brute_score(train, text, depth), rel=1e-6)
 
 
+def test_memory_of_the_trie():
+    """Beside the counts sent, a worker's trie takes little, and building and asking it no more than a few pieces; bits select a slice."""
+    rng = np.random.default_rng(7)
+    every = sum((np.arange(11**6) // 11**k % 11 + 97) << (8 * k) for k in range(6))
+    full = every[rng.random(len(every)) < 0.6], rng.integers(1, 1000, len(every))
+    full = full[0], lm_scoring.narrow(full[1][: len(full[0])])
+    short = lm_scoring.summed(full[0] & 0xFFFFFF, full[1])
+    asked = rng.choice(every, 2_000_000)
+    tracemalloc.start()
+    try:
+        trie = lm_scoring.Trie(full, short)
+        stays, most = tracemalloc.get_traced_memory()
+        nodes = sum(len(x[0]) for x in trie.nodes.values()) + sum(len(trie.cells[k][0]) for k in range(5))
+        assert stays < 20 * len(full[0]) + 30 * nodes + 1e6 and most < stays + 40e6
+        tracemalloc.reset_peak()
+        scores = trie.score(asked)
+        assert tracemalloc.get_traced_memory()[1] < stays + scores.nbytes + 40e6
+    finally:
+        tracemalloc.stop()
+    inside = rng.random(1 << 24) < 0.5
+    assert np.array_equal(trie.score(asked, np.packbits(inside)), np.where(inside[asked >> 8 & 0xFFFFFF], scores, 0.0))
+
+
+def test_a_worker_builds_a_trie_once(spark):
+    """Tasks of one worker share it; it is dropped before counts are gathered again."""
+    full = lm_scoring.summed(lm_scoring.contexts([b"some text"])[0], np.ones(10, np.int64))
+    shared = spark.sparkContext.broadcast((full, lm_scoring.summed(full[0] & 0xFFFFFF, full[1])))
+    ready = cloudpickle.loads(cloudpickle.dumps(lm_scoring._ready))
+    assert ready("mark", shared) is ready("mark", shared) is lm_scoring._MODEL["mark"]
+    forgotten()
+    assert not lm_scoring._MODEL
+
+
 @pytest.mark.parametrize("part, options", [(None, {}), (2_000, {"block": 700, "frequent": 50})])
 def test_scores_equal_brute_force(spark, sf, odd, part, options, monkeypatch):
     """Whole results of the operator, whatever the blocks, slices and frequent words; the session's settings stay as they were."""
