@@ -295,6 +295,8 @@ def _score(docs: DataFrame, id_col: str, text_col: str, frequent: int, block: in
             bits = np.zeros(1 << 24, bool)
             bits[keys] = True
             mine = spark.sparkContext.broadcast(np.packbits(bits))
+            del keys, bits
+        released()
         mark = uuid.uuid4().hex
 
         def evaluate(batches):
