@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..storage import dropped, stored  # noqa: F401
 
@@ -68,6 +69,15 @@ def released() -> None:
         pass
 
 
+def heap_returned(spark: SparkSession) -> None:
+    """Let executors collect their garbage and give free heap back: it stays with a JVM otherwise, beside all that Python needs later.
+
+    A short task for each core, which as a rule reaches each executor. No more than memory depends on it, so none reached is no error.
+    """
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a piece hold about `budget` bytes; a longer text stands alone."""
     for batch in batches:

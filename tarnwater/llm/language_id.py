@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, kept, released
+from .common import MEMOS, blocks, kept, released
 
 DIMENSIONS, SEED, UNKNOWN, LANGUAGES = 1024, 11, "und", 10_000
 #: Bound vectors and letters that a Python worker keeps ready, a byte per dimension each; others are made when they are met.
@@ -26,6 +26,7 @@ READY, LETTERS = 16_384, 8_192
 PENDING = 1 << 20
 PART = (1 << 21) - 1
 _KEPT: dict = {}
+MEMOS.append(_KEPT)
 
 
 def _state() -> dict:

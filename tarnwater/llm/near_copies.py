@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, blocks, dropped, forgotten, fresh, released, stored
+from .common import batches_of, blocks, dropped, forgotten, fresh, heap_returned, released, stored
 from .components import components
 from .simhash import apart, shingle_hashes
 
@@ -128,21 +128,20 @@ def _marks(keys: DataFrame, cells: int) -> np.ndarray:
 
 
 def _marked(rows: DataFrame, held, cells: int, column: str, wanted: bool = True) -> DataFrame:
-    """The rows whose key falls in a marked cell, or in none. No shuffle."""
+    """The rows whose key falls in a marked cell, or in none. No shuffle; only keys go to Python, not the texts beside them."""
 
-    def run(batches):
-        marks = np.unpackbits(held.value).astype(bool)
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(marks[batch.column(column).to_numpy() % cells] == wanted))
-        released()
+    @F.arrow_udf("boolean")
+    def inside(keys: pa.Array) -> pa.Array:
+        at = keys.to_numpy(zero_copy_only=False) % cells
+        return pa.array((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) == wanted)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.where(inside(column))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, cells: int) -> DataFrame:
     """The rows of `pairs` (a, b: sets) whose similarity is 0.8 or more; only texts of sets in pairs move."""
     spark = texts.sparkSession
+    heap_returned(spark)  # what the joins that found the pairs have left
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = stored(needed.join(sets.select("node", "k1", "k2"), "node"), "keys")
     held = spark.sparkContext.broadcast(_marks(keys, cells))
@@ -284,6 +283,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     found = groups(docs, id_col, text_col, cells)
+    heap_returned(spark)
     several = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("s"), F.count("*").alias("n")).where("n > 1")
     several = stored(several.select("root", F.col("s.k1").alias("c1"), F.col("s.k2").alias("c2")), "several")
     touched = found.join(several, "root").select("k1")

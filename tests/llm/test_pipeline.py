@@ -6,10 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwater.llm import mixing, quality
+from tarnwater.llm import bpe_codec, common, language_id, mixing, near_copies, quality
 from tarnwater.llm.common import table
 
 from .test_documents import brute_language
@@ -164,3 +165,47 @@ def test_large_populations_are_dealt_in_strata():
     got = mixing.split_quotas(quotas, 6, 4)
     assert got.sum(axis=1).tolist() == quotas and got.sum(axis=0).max() - got.sum(axis=0).min() <= 100
     assert (mixing.split_quotas([50, 60], 3, 1, most=20).sum(axis=1) == [50, 60]).all()
+
+
+def test_digests_read_small_batches_and_leave_the_settings(spark, sf, monkeypatch):
+    def sizes(docs, tokenizer):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+        return docs.mapInArrow(run, "n long")
+
+    monkeypatch.setattr(bpe_codec, "round_trip", sizes)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    rows = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    got = [r["n"] for r in pipeline.token_digests(spark, rows, sf).collect()]
+    assert sum(got) == 5000 and max(got) <= 1000 and spark.conf.get(name) == was
+
+
+def test_executors_give_heap_back_before_each_stage(spark, sf, fixture):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = frame(spark, fixture[:20])
+    for _, stage in pipeline.STAGES:
+        before = full()
+        stage(spark, docs, sf)
+        assert full() > before
+
+
+def test_marked_rows_send_only_keys_to_python(spark):
+    marks = np.zeros(1000, bool)
+    marks[[0, 7, 8, 991, 999]] = True
+    held = spark.sparkContext.broadcast(np.packbits(marks))
+    rows = spark.range(-3000, 3000).select(F.col("id").alias("k"), F.lit("text").alias("text"))
+    for wanted in (True, False):
+        out = near_copies._marked(rows, held, 1000, "k", wanted)
+        assert sorted(r["k"] for r in out.collect()) == [k for k in range(-3000, 3000) if marks[k % 1000] == wanted]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and re.findall(r"inside\((.*?)\)", plan)[0].split("#")[0] == "id"
+
+
+def test_a_worker_forgets_language_vectors_too():
+    language_id._state()
+    common.forgotten()
+    assert not language_id._KEPT and len(language_id.trigrams("some words")[0])
